@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, simhash
+from . import decontaminate, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_ownership": secrets.query,
+    "op6_winnowed_contamination": decontaminate.query,
+    "op7_warc_members": warc.query,
     "op10_simhash_components": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_ownership": secrets.ORACLE,
+    "op6_winnowed_contamination": decontaminate.ORACLE,
+    "op7_warc_members": warc.ORACLE,
 }
