@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality, secrets, simhash, tokenids, warc
+from . import bpe, decontaminate, langid, quality, secrets, simhash, substrings, tokenids, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_bitmasks": langid.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_winnowed_contamination": decontaminate.query,
     "op7_warc_members": warc.query,
     "op8_compression_quality": quality.query,
+    "op9_substring_doubling": substrings.query,
     "op10_simhash_components": simhash.query,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_ownership": secrets.ORACLE,
     "op6_winnowed_contamination": decontaminate.ORACLE,
     "op7_warc_members": warc.ORACLE,
+    "op9_substring_doubling": substrings.ORACLE,
 }
