@@ -1,25 +1,61 @@
-"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input.
+
+Every stage works on all rows that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import common, simhash
+from gridwright.llm import bpe, common, decontaminate, langid, secrets, simhash
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and those without a letter. The filter is learned from the documents
+    whose id is not in the held-out bucket."""
+    model = langid.fit(docs.where(common.bucket_of("doc_id") != 2))
+    return langid.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id. Documents without an id stay."""
-    found = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(common.save(found, "pipeline-copies"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays: the one with the smallest doc_id. Documents without an id stay;
+    of rows with equal ids all stay or none."""
+    copies = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(common.save(copies, "pipeline-copies"), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go: those with a benchmark window whose hit words are a twentieth of all at least."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = common.save(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live credentials are masked in the text; n_chars follows. Copied examples stay, and so does every document."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, with digests of the ids and of what they decode to."""
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_redaction", secret_redaction),
+    ("bpe_tokens", tokens),
 ]
 
+#: SQL has neither the filters, nor the fingerprints, nor the tokenizer.
 ORACLE_SQL = None
 
 
