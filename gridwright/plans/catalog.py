@@ -5,7 +5,211 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gridwright.operators import cuts, distributed, graph, malis, regions, segment, tree
+from gridwright.plans import sql
+from gridwright.sources import tables
+from gridwright.sources.tables import WIDTH
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None, **rounded: int):
+    """Registers a query; its columns named in `rounded` are rounded to so many places."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(c, n) for c, n in rounded.items()}) if rounded else df
+
+        QUERIES[name] = run
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return run
+
+    return register
+
+
+def _graph(spark: SparkSession, sf_dir: str, connex: int = 4, metric: str = "euclid") -> DataFrame:
+    return graph.graph(tables.embedding_pixels(spark, sf_dir), connex, metric, WIDTH)
+
+
+def _scalar_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph(tables.scalar_pixels(spark, sf_dir), 4, "euclid", WIDTH)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.merge_tree(_scalar_graph(spark, sf_dir), tables.scalar_map(spark, sf_dir), WIDTH)
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge tree with a weight for every node, made from its number."""
+    t = _tree(spark, sf_dir)
+    return tree.weight_tree(t, t.select("image_id", (F.col("node") + 1).alias("node"), ((F.col("node") + 1) * 37 % 101 / 101).alias("weight")))
+
+
+for _name, _connex, _metric, _weight in (("graph_euclid4", 4, "euclid", sql.EUCLID), ("graph_max4", 4, "max", sql.MAXIMUM), ("graph_angle4", 4, "angle", sql.ANGLE), ("graph_euclid8", 8, "euclid", sql.EUCLID)):
+    query(_name, sql.graph(_weight, _connex // 2), w=6)(lambda s, d, c=_connex, m=_metric: _graph(s, d, c, m))
+for _connex in (4, 8):
+    query(f"gradient{_connex}", sql.gradient(_connex // 2), v=6)(lambda s, d, c=_connex: graph.gradient(_graph(s, d, c), WIDTH, tables.label_segm(s, d)))
+    query(f"connected_components{_connex}", sql.components_of(_connex // 2, "w < 1.35"))(lambda s, d, c=_connex: segment.connected_components(_graph(s, d, c), tables.label_segm(s, d), WIDTH, 1.35))
+
+
+@query("graph_events", sql.EVENTS, w=4)
+def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = tables.event_raster(spark, sf_dir)
+    return graph.graph(pixels, 4).select("plane", "y", "x", "w")
+
+
+@query("mat2graph", sql.MAT2GRAPH, w=6)
+def mat2graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = tables.scalar_map(spark, sf_dir)
+    return graph.mat2graph(image, (image.agg(F.max("y")).first()[0] or 0) // 2, (WIDTH - 1) // 2)
+
+
+@query("khalimsky", sql.KHALIMSKY, v=6)
+def khalimsky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.khalimsky(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir))
+
+
+@query("connected_components_rounds", sql.components_of(2, "w < 1.35"))
+def connected_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35, per_image=False)
+
+
+@query("components", sql.COMPONENTS, centroid_x=6, centroid_y=6)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.components(segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35))
+
+
+@query("components_patch", sql.PATCHES, f0=6)
+def components_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
+    return regions.patches(tables.embedding_pixels(spark, sf_dir), segm, "bbox", 3).select("image_id", "id", "y", "x", F.col("f")[0].cast("double").alias("f0"), "inside")
+
+
+@query("segment_constant", sql.components_of(2, "w <= 1.38"))
+def segment_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.38, 1, adaptive=False)
+
+
+@query("segment_adaptive")
+def segment_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 3, 20)
+
+
+@query("segment_sparse")
+def segment_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment_sparse(tables.order_graph(spark, sf_dir), 0.2, 5)
+
+
+@query("watershed", v=6)
+def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.watershed(tables.scalar_map(spark, sf_dir), 0.05, 4)
+
+
+@query("mst_edges", sql.MST)
+def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boruvka over the levels; the number of an edge breaks ties as the merge tree does."""
+    q = F.floor(F.least(F.greatest(F.round("w", 9) * 255, F.lit(0)), F.lit(255))).cast("int")
+    edges = _scalar_graph(spark, sf_dir).select(F.shiftleft(F.col("plane").cast("long"), 40).bitwiseOR(F.col("src")).alias("e"), F.col("src").alias("u"), F.col("dst").alias("v"), q.alias("w"))
+    return distributed.spanning_forest(edges).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("q"))
+
+
+@query("merge_tree", sql.MERGE_TREE)
+def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).drop("sons", "weight")
+
+
+@query("hierarchy_arb", sql.MERGE_TREE)
+def hierarchy_arb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree from levels that are computed beforehand."""
+    levels = _scalar_graph(spark, sf_dir).withColumn("w", F.floor(F.least(F.greatest(F.round("w", 9) * 255, F.lit(0)), F.lit(255))).cast("double"))
+    return tree.hierarchy_arb(levels, tables.scalar_map(spark, sf_dir), WIDTH).drop("sons", "weight")
+
+
+@query("hierarchy_scale")
+def hierarchy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _scalar_graph(spark, sf_dir).withColumn("w", F.col("w") * 255)
+    return tree.hierarchy_scale(levels, tables.scalar_map(spark, sf_dir), WIDTH).drop("sons", "weight")
+
+
+query("tree_levels", sql.TREE_LEVELS)(lambda s, d: tree.levels(_tree(s, d)))
+query("tree_adjacency", sql.TREE_ADJACENCY)(lambda s, d: tree.adjacency(_tree(s, d)))
+query("tree_components", sql.TREE_COMPONENTS, centroid_x=6, centroid_y=6)(lambda s, d: tree.components(_tree(s, d), WIDTH))
+query("tree_masks")(lambda s, d: tree.masks(_tree(s, d)))
+query("tree_dump")(lambda s, d: tree.dump(_tree(s, d)))
+query("tree_text")(lambda s, d: tree.text(_tree(s, d)))
+query("tree_graphviz")(lambda s, d: tree.graphviz(_tree(s, d)))
+query("tree_bands")(lambda s, d: tree.flatten(_tree(s, d)))
+query("label_at_level", sql.LABEL_AT_LEVEL)(lambda s, d: tree.label_at_level(_tree(s, d), 20))
+query("saliency", sql.SALIENCY, w=6)(lambda s, d: tree.saliency(_tree(s, d), _scalar_graph(s, d)))
+query("filter_surface", sql.FILTER_SURFACE, attr_altitude=6)(lambda s, d: tree.filter_tree(_tree(s, d), "surface").select("image_id", "node", "altitude", "attr_altitude"))
+for _mode in ("volume", "dynamic", "alphaomega"):
+    query(f"filter_{_mode}", attr_altitude=6)(lambda s, d, m=_mode: tree.filter_tree(_tree(s, d), m).drop("sons", "weight"))
+
+
+@query("tree_weights", sql.TREE_WEIGHTS, weight=6)
+def tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tree(spark, sf_dir)
+    some = t.where("node % 3 <> 2").select("image_id", (F.col("node") + 1).alias("node"), ((F.col("node") + 1) * 37 % 101 / 101).alias("weight"))
+    return tree.weight_tree(t, some).select("image_id", "node", "weight")
+
+
+for _key, _mode in (("cut_kruskal", "Kruskal"), ("cut_prim", "Prim"), ("cut_power_watershed", "PWatershed"), ("cut_graph", "Graphcuts")):
+    query(_key)(lambda s, d, m=_mode: cuts.cut_tree(_weighted(s, d), m))
+query("min_cover", sql.MIN_COVER)(lambda s, d: cuts.cut_tree(_weighted(s, d), "MinCover"))
+
+
+def _pooled(spark: SparkSession, sf_dir: str, histmax: bool, confidence: float) -> DataFrame:
+    pooled, _ = regions.hist_pooling(tables.embedding_pixels(spark, sf_dir), tables.label_segm(spark, sf_dir), histmax, confidence)
+    return pooled.select("image_id", "y", "x", F.posexplode("f").alias("ch", "v")).withColumn("ch", (F.col("ch") + 1).cast("long"))
+
+
+query("hist_pooling", sql.pooling(False, 0), v=6)(lambda s, d: _pooled(s, d, False, 0))
+query("hist_pooling_max", sql.pooling(True, 0), v=6)(lambda s, d: _pooled(s, d, True, 0))
+query("hist_pooling_conf", sql.pooling(False, 0.03), v=6)(lambda s, d: _pooled(s, d, False, 0.03))
+query("segm_adjacency", sql.ADJACENCY)(lambda s, d: regions.adjacency(tables.label_segm(s, d)))
+query("segm_adjacency_list", sql.ADJACENCY_LISTS)(lambda s, d: regions.adjacency_lists(regions.adjacency(tables.label_segm(s, d))).withColumn("neighbors", F.array_join(F.array_sort(F.col("neighbors").cast("array<string>")), ",")))
+
+
+@query("overlap", sql.OVERLAP, ratio=6)
+def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bright = tables.scalar_map(spark, sf_dir).withColumn("v", (F.col("v") >= 0.5).cast("double"))
+    return regions.overlap(bright, tables.label_segm(spark, sf_dir), 11)
+
+
+@query("decision_fusion", sql.DECISION)
+def decision_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals are pairs of neighbouring labels; scores are means of the first channels."""
+    rows = tables.embedding_pixels(spark, sf_dir).join(tables.label_segm(spark, sf_dir), regions.PLACE)
+    rows = rows.withColumn("seg", F.explode(F.array("label", (F.col("label") + 9) % 10)))
+    scores = rows.select("image_id", "seg", F.posexplode(F.slice("f", 1, 4)).alias("class", "v")).groupBy("image_id", "seg", "class").agg(F.abs(F.avg(F.col("v").cast("double"))).alias("f"))
+    return regions.decision(rows.select("image_id", "seg", "y", "x"), scores, tables.label_segm(spark, sf_dir), 0.3, 0.01)
+
+
+@query("colorize_map", sql.COLORIZE)
+def colorize_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segm = tables.label_segm(spark, sf_dir)
+    colours = segm.select(F.col("label").alias("id")).distinct().select("id", F.array(F.col("id") / 10, 1 - F.col("id") / 10, F.lit(0.5)).alias("color"))
+    return regions.colorize(segm, colours).select("image_id", "y", "x", *[F.col("color")[i].alias(c) for i, c in enumerate("rgb")])
+
+
+query("colorize_hash")(lambda s, d: regions.colorize(tables.label_segm(s, d)))
+
+
+@query("colormap", sql.COLORMAP)
+def colormap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = tables.label_segm(spark, sf_dir).where("label % 3 = 0").select(F.col("label").alias("id")).distinct()
+    out = regions.colormap(some.select("id", F.array(F.col("id") / 10, F.lit(0.5)).alias("color")), 0.25)
+    return out.select("id", F.col("color")[0].alias("r"), F.col("color")[1].alias("g"))
+
+
+def _malis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return malis.malis(_scalar_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, "min", 0.1, 0.05)
+
+
+query("malis_loss", value=6)(lambda s, d: malis.metric(_malis(s, d), "loss"))
+query("malis_gradient", gradient=9)(lambda s, d: _malis(s, d).select("image_id", "plane", "y", "x", "gradient"))
