@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import save, scratch, slices, small_batches
 
 MAGIC = b"GWPF0001"
 BLOCK = 1024
 PERCENTILE = 0.95
-#: Distinct runs of text that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Distinct runs of text, and words, in a generation of what a worker remembers.
+REMEMBERED = 400_000
 HEAD, TAIL = struct.Struct("<IBH"), struct.Struct("<QQQ8s")
 #: A space between two characters that no notion of white space covers: byte-level words never cross it.
 BORDER = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]) (?=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])")
 
+#: Where none of these is in a text, every space in it is such a border.
+UNUSUAL = ("  ", " \n", "\n ", *map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """One encoded block for each row of ids (blocks, ids in a block)."""
@@ -153,31 +158,66 @@ class Reader:
                 yield None if self.null[d] else int(self.doc_ids[d]), a, stream[a - base : b - base]
             at = upto
 
+#: Text on which Python and the library agree about letters, digits and spaces, and the byte-level word pattern on it.
+PLAIN = re.compile("[ !-~\nÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\\s+(?!\\S)|\\s+")
+
+
+class Runs(dict):
+    """Ids of runs of text, made when first asked for. Two generations: what is asked for again outlives the older one."""
+
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(run)
+        if out is None:
+            out = self.make(run)
+        self[run] = out
+        return out
+
 
 class Tokens:
-    """Ids by the tokenizers library. A text is cut at spaces that no token crosses, and each distinct run is encoded once."""
+    """Ids by the tokenizers library: its pre-tokeniser cuts a run of text into words, its model encodes each distinct one.
+
+    A text is cut at spaces that no token crosses, so that a run is encoded once however often it occurs."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        if self.library.normalizer is not None or self.library.pre_tokenizer is None or self.library.post_processor is not None:
+            raise ValueError(f"{path}: only byte-level vocabularies without a normaliser are supported")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        self.symbol = byte_symbols()
+        self.word = Runs(self.merged)
+        self.first = Runs(self.one)
+        self.later = Runs(lambda run: self.one(" " + run))
+
+    def one(self, run: str) -> bytes:
+        if any(t in run for t in self.added):
+            return array("I", self.library.encode(run, add_special_tokens=False).ids).tobytes()
+        if PLAIN.fullmatch(run):
+            return b"".join([self.word[w] for w in WORD.findall(run)])
+        return b"".join([self.ids(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(run)])
+
+    def ids(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def merged(self, word: str) -> bytes:
+        return self.ids(word.replace(" ", self.symbol[32]).replace("\n", self.symbol[10]) if word.isascii() else "".join([self.symbol[b] for b in word.encode()]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
+        out = []
         for t in texts:
-            runs = BORDER.split(t)
-            runs[1:] = [" " + r for r in runs[1:]]
-            cut.append(runs)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        fresh = list(set().union(*cut) - known.keys())
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for r, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[r] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[r] for r in runs]), "<u4") for runs in cut]
+            plain = not any(x in t for x in UNUSUAL) and t[:1] != " " and t[-1:] != " "
+            runs = t.split(" ") if plain else BORDER.split(t)
+            out.append(np.frombuffer(self.first[runs[0]] + b"".join(map(self.later.__getitem__, runs[1:])), "<u4"))
+        return out
 
 
 _tokens: dict[str, Tokens] = {}
