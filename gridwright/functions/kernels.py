@@ -505,3 +505,73 @@ def watershed(image: np.ndarray, min_height: int, connex: int) -> tuple[np.ndarr
                 heapq.heappush(heap, (max(level, int(smooth[a, b])), turn, a, b))
                 turn += 1
     return value, basin, n
+
+
+def component_tree(image: np.ndarray, connex: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tree of the components of pixels at or above each level: (parent of each pixel, area, volume), by raster index.
+
+    Each component is named by its first pixel in the order of falling value, then raster; other pixels of its level point to
+    it, and it points to the component around it (the root to itself). volume is the sum of values above the parent's."""
+    h, w = image.shape
+    flat = image.ravel()
+    order = np.lexsort((np.arange(flat.size), -flat))
+    up, parent, seen = list(range(flat.size)), np.arange(flat.size), np.zeros(flat.size, bool)
+    near = neighbours(h, w, connex)
+
+    def top(a: int) -> int:
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for p in order.tolist():
+        seen[p] = True
+        y, x = divmod(p, w)
+        for dy, dx in near:
+            a, b = y + dy, x + dx
+            q = a * w + b
+            if 0 <= a < h and 0 <= b < w and seen[q]:
+                r = top(q)
+                if r != p:
+                    up[r] = p
+                    parent[r] = p
+    for p in order[::-1].tolist():  # from the root up: chains of one level point to the pixel nearest the root
+        q = parent[p]
+        if flat[parent[q]] == flat[q]:
+            parent[p] = parent[q]
+    area, volume = np.ones(flat.size, np.int64), np.zeros(flat.size)
+    for p in order.tolist():
+        q = parent[p]
+        if q != p:
+            volume[p] += area[p] * float(flat[p] - flat[q])
+            area[q] += area[p]
+            volume[q] += volume[p]
+    return parent, area, volume
+
+
+def peak_rises(image: np.ndarray, connex: int) -> np.ndarray:
+    """By raster index: how far each peak stands over the level at which it meets a higher one (infinite for the highest of
+    all), 0 at other pixels. Of equal peaks the first in raster order counts as higher."""
+    h, w = image.shape
+    flat = image.ravel()
+    up, seen, rise = list(range(flat.size)), np.zeros(flat.size, bool), np.zeros(flat.size)
+    order = np.lexsort((np.arange(flat.size), -flat)).tolist()
+    place = {p: i for i, p in enumerate(order)}
+    near = neighbours(h, w, connex)
+
+    def top(a: int) -> int:
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    for p in order:  # a set is named by its peak
+        seen[p] = True
+        y, x = divmod(p, w)
+        around = {top((y + dy) * w + x + dx) for dy, dx in near if 0 <= y + dy < h and 0 <= x + dx < w and seen[(y + dy) * w + x + dx]}
+        peaks = sorted(around | {p}, key=place.get)
+        for q in peaks[1:]:
+            up[q] = peaks[0]
+            rise[q] = float(flat[q] - flat[p])
+    rise[order[0]] = np.inf
+    return rise

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.operators import cuts, distributed, graph, malis, regions, segment, tree
+from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree
 from gridwright.plans import sql
 from gridwright.sources import tables
 from gridwright.sources.tables import WIDTH
@@ -213,3 +213,25 @@ def _malis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("malis_loss", value=6)(lambda s, d: malis.metric(_malis(s, d), "loss"))
 query("malis_gradient", gradient=9)(lambda s, d: _malis(s, d).select("image_id", "plane", "y", "x", "gradient"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.scalar_map(spark, sf_dir).withColumn("v", F.floor(F.round("v", 9) * 255).cast("long"))
+
+
+for _mode in ("modulus", "direction", "laplacian", "sharpen", "smooth", "dx", "dy"):
+    query(f"deriche_{_mode}", v=9)(lambda s, d, m=_mode: morphology.deriche(tables.scalar_map(s, d), 1.0, m))
+query("shen_castan", v=9)(lambda s, d: morphology.shen_castan(tables.scalar_map(s, d), 0.5))
+query("h_minima")(lambda s, d: morphology.h_minima(_levels(s, d), 12))
+query("h_maxima")(lambda s, d: morphology.h_maxima(_levels(s, d), 12))
+query("regional_minima")(lambda s, d: morphology.extrema(_levels(s, d), "minima"))
+query("regional_maxima")(lambda s, d: morphology.extrema(_levels(s, d), "maxima"))
+query("component_tree")(lambda s, d: morphology.component_tree(_levels(s, d)))
+query("strongest_maxima")(lambda s, d: morphology.strongest(_levels(s, d), 10))
+query("binary_labels", sql.BINARY_LABELS)(lambda s, d: morphology.binary_labels(tables.scalar_map(s, d).withColumn("v", (F.col("v") >= 0.5).cast("int")), WIDTH))
+
+
+@query("connected_overlap", sql.CONNECTED_OVERLAP, iou=6)
+def connected_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
+    return regions.connected_overlap(segm, tables.label_segm(spark, sf_dir))

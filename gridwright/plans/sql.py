@@ -106,3 +106,9 @@ EVENTS = """WITH c AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts A
 k AS (SELECT DISTINCT y, x FROM c), t AS (SELECT DISTINCT t FROM c), px AS (SELECT k.y, k.x, t.t, coalesce(c.v, 0) AS v FROM k CROSS JOIN t LEFT JOIN c ON c.y = k.y AND c.x = k.x AND c.t = t.t),
 d AS (SELECT a.y, a.x, o.plane, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS w FROM px a JOIN (VALUES (0, 0, 1), (1, 1, 0)) AS o(plane, dy, dx) ON TRUE JOIN px b ON b.y = a.y + o.dy AND b.x = a.x + o.dx AND b.t = a.t GROUP BY ALL)
 SELECT plane, y, x, round(w, 4) AS w FROM d"""
+
+BINARY_LABELS = f"""WITH RECURSIVE {PX}, bright AS (SELECT * FROM px WHERE g >= 0.5), near AS (SELECT a.p AS a, b.p AS b FROM bright a JOIN bright b ON abs(a.y - b.y) + abs(a.x - b.x) = 1),
+reach(a, b) AS (SELECT p, p FROM bright UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b) SELECT image_id, y, x, label FROM (SELECT a AS p, min(b) AS label FROM reach GROUP BY a) l JOIN (SELECT image_id, y, x, p FROM px) px USING (p)"""
+CONNECTED_OVERLAP = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, s AS (SELECT image_id, lab.label AS segment, px.label AS label FROM px JOIN lab USING (p)),
+i AS (SELECT image_id, segment, label, count(*) AS i FROM s GROUP BY ALL), a AS (SELECT segment, count(*) AS na FROM s GROUP BY 1), b AS (SELECT label, count(*) AS nb FROM s GROUP BY 1)
+SELECT image_id, segment, label, round(i / (na + nb - i), 6) AS iou FROM i JOIN a USING (segment) JOIN b USING (label)"""
