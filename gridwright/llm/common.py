@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,21 +14,6 @@ SLICE_BYTES = 2_000_000
 U64 = np.uint64
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/gridwright-scratch"
-    return f"{base.rstrip('/')}/gridwright/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here, lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that save() wrote and that nothing reads any more."""
     spark = df.sparkSession

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bucket_of, raw, save, slices, small_batches, strings
+from gridwright.session import save
+
+from .common import bucket_of, raw, slices, small_batches, strings
 
 #: Bytes of an n-gram; slots are 2**SLOT_BITS; hash multipliers, one for each probe.
 GRAM = 4

@@ -18,7 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from gridwright.operators.distributed import components
+from gridwright.session import save
+
+from .common import small_batches
 
 #: Fingerprints of one group that one task compares; larger groups are split into blocks of half of it, compared by pairs.
 GROUP = 4096
@@ -185,33 +188,6 @@ def candidate_stars(classes: DataFrame, radius: int) -> DataFrame:
     return keyed.select("g", "fp", "node").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (u, v) reaches. Distributed: hook to the smallest neighbour,
-    shorten paths by doubling, contract, until no edge is left. Every table is written, and joins are between written
-    tables, so that Spark can split a node that has very many edges."""
-    spark = edges.sparkSession
-    edges = save(edges, "cc-edges")
-    total: DataFrame | None = None
-    while edges.take(1):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = save(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("root")), "cc-hook")
-        while True:  # node -> root -> root of root, until roots stand still
-            up = step.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            jumped = save(step.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), (F.coalesce("higher", "root") != F.col("root")).alias("moved")), "cc-jump")
-            step = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
-                break
-        a = edges.join(step.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").select("v", "ru")
-        b = save(a, "cc-half").join(step.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v").where("ru <> rv")
-        edges = save(b.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "cc-edges")
-        if total is None:
-            total = step
-        else:
-            up = step.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            total = save(total.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "cc-total")
-    return total if total is not None else spark.createDataFrame([], "node long, root long")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp long, component_id): one row for each row of docs, with the smallest id reachable over links of at most
     `radius` differing bits. Equal ids count as one document. A null text is an empty one. Rows without an id are kept, link to

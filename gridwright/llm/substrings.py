@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Words, discard, mix, save, small_batches, strings, window_hashes
+from gridwright.session import save
+
+from .common import NOT_SPACE, U64, Words, discard, mix, small_batches, strings, window_hashes
 
 WINDOW = 13
 SEED = (WINDOW + 1) // 2

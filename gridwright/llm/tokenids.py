@@ -27,8 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridwright.session import save, scratch
+
 from .bpe import byte_symbols
-from .common import save, scratch, slices, small_batches
+from .common import slices, small_batches
 
 MAGIC = b"GWPF0001"
 BLOCK = 1024

@@ -18,7 +18,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, scratch
+from gridwright.session import save, scratch
+
 
 #: Equal payloads below this many bytes are all kept.
 LEAST_REVISIT = 1000

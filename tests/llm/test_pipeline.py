@@ -11,7 +11,7 @@ from test_simhash import classes, fingerprint
 from test_texts import assign_value, base_spans, contaminated
 from tokenizers import Tokenizer
 
-from gridwright.llm import common
+from gridwright import session
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -31,7 +31,7 @@ def planted(spark):
 
 
 def test_each_stage(spark):
-    docs = common.save(planted(spark), "test")
+    docs = session.save(planted(spark), "test")
     before = rows(docs)
 
     after = rows(STAGES["language_id"](spark, docs, SF))
@@ -79,14 +79,14 @@ def test_run_keeps_columns_between_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.schema.names == docs.schema.names
-        docs = common.save(out, "test")
+        docs = session.save(out, "test")
     assert rows(corpus_pipeline.run(spark, SF)).keys() == rows(docs).keys()
 
 
 def test_odd_rows(spark):
     for docs in (odd_documents(spark), documents(spark, [])):
         for name, stage in corpus_pipeline.STAGES:
-            out = common.save(stage(spark, docs, SF), "test")
+            out = session.save(stage(spark, docs, SF), "test")
             assert out.count() <= docs.count()
             if name != "bpe_tokens":
                 assert out.columns == docs.columns
