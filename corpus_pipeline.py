@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright import session
 from gridwright.llm import bpe, common, decontaminate, langid, secrets, simhash
 
 
@@ -25,13 +26,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id. Documents without an id stay;
     of rows with equal ids all stay or none."""
     copies = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(common.save(copies, "pipeline-copies"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(session.save(copies, "pipeline-copies"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go: those with a benchmark window whose hit words are a twentieth of all at least."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = common.save(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    bad = session.save(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -63,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = session.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
