@@ -58,7 +58,7 @@ def tree(select: str) -> str:
 
 
 MST = f"WITH RECURSIVE {_RANKED} SELECT src, dst, q FROM mst"
-MERGE_TREE = tree("SELECT CAST(0 AS BIGINT) AS image_id, tree.node, father, is_leaf, level, level AS altitude, CASE WHEN is_leaf THEN tree.node END AS pixel, mst.src AS merge_src, mst.dst AS merge_dst FROM tree LEFT JOIN mst USING (k)")
+MERGE_TREE = tree("SELECT CAST(0 AS BIGINT) AS image_id, tree.node, father, is_leaf, level, level AS altitude, CAST(CASE WHEN is_leaf THEN tree.node END AS BIGINT) AS pixel, mst.src AS merge_src, mst.dst AS merge_dst FROM tree LEFT JOIN mst USING (k)")
 TREE_LEVELS = tree("SELECT CAST(0 AS BIGINT) AS image_id, node, level FROM tree")
 TREE_ADJACENCY = tree("SELECT CAST(0 AS BIGINT) AS image_id, CAST(node + 1 AS BIGINT) AS id, CAST(father + 1 AS BIGINT) AS neighbor FROM tree WHERE father >= 0 UNION ALL SELECT 0, father + 1, node + 1 FROM tree WHERE father >= 0")
 TREE_WEIGHTS = tree("SELECT CAST(0 AS BIGINT) AS image_id, node, CASE WHEN node % 3 = 2 THEN 0.0 ELSE round(((node + 1) * 37 % 101) / 101, 6) END AS weight FROM tree")
@@ -83,7 +83,7 @@ FROM px, (VALUES (0), (1)) AS t(plane) WHERE y % 2 = 0 AND x % 2 = 0 AND y < 2 *
 
 def pooling(maximum: bool, confidence: float) -> str:
     sure = "TRUE" if confidence <= 0 else f"list_sort(f, 'DESC')[1] - list_sort(f, 'DESC')[2] >= {confidence}"
-    value = "CASE WHEN ch = last THEN 1.0 ELSE 0.0 END" if maximum else "round(m, 6)"
+    value = "CAST(ch = last AS DOUBLE)" if maximum else "round(m, 6)"
     return f"""WITH {PX}, s AS (SELECT *, {sure} AS sure FROM px), c AS (SELECT label, count(*) FILTER (sure) + 1 AS n FROM s GROUP BY label),
 u AS (SELECT label, sure, unnest(range(1, len(f) + 1)) AS ch, unnest(f) AS v FROM s), m AS (SELECT label, ch, coalesce(sum(v) FILTER (sure), 0) / any_value(n) AS m FROM u JOIN c USING (label) GROUP BY 1, 2),
 l AS (SELECT label, max(ch) AS last FROM (SELECT label, ch, m, max(m) OVER (PARTITION BY label) AS top FROM m) WHERE m = top GROUP BY label)
@@ -100,8 +100,8 @@ n AS (SELECT seg, count(*) AS n FROM prop GROUP BY seg), lp AS (SELECT y, x FROM
 k AS (SELECT seg, count(*) AS k FROM prop JOIN lp USING (y, x) GROUP BY seg), voters AS (SELECT seg FROM k JOIN n USING (seg) WHERE k / least(n, (SELECT count(*) FROM lp)) > 0.3),
 g AS (SELECT y, x, class, sum(sc.f) AS g FROM prop JOIN voters USING (seg) JOIN sc USING (seg) GROUP BY 1, 2, 3), top AS (SELECT y, x, max(g) AS g, arg_min(class, (-g, class)) AS class FROM g GROUP BY 1, 2)
 SELECT px.image_id, y, x, CAST(CASE WHEN coalesce(top.g, 0) < 0.01 THEN 2 ELSE coalesce(class, 0) + 3 END AS INT) AS class FROM px LEFT JOIN top USING (y, x)"""
-COLORIZE = f"WITH {PX} SELECT image_id, y, x, label / 10 AS r, 1 - label / 10 AS g, 0.5 AS b FROM px"
-COLORMAP = "SELECT CAST(id AS BIGINT) AS id, CASE WHEN id % 3 = 0 THEN id / 10 ELSE 0.25 END AS r, CASE WHEN id % 3 = 0 THEN 0.5 ELSE 0.25 END AS g FROM range(0, (SELECT max(label) FROM embeddings WHERE label % 3 = 0) + 1) t(id)"
+COLORIZE = f"WITH {PX} SELECT image_id, y, x, label / 10 AS r, 1 - label / 10 AS g, CAST(0.5 AS DOUBLE) AS b FROM px"
+COLORMAP = "SELECT CAST(id AS BIGINT) AS id, CASE WHEN id % 3 = 0 THEN id / 10 ELSE 0.25 END AS r, CAST(CASE WHEN id % 3 = 0 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS g FROM range(0, (SELECT max(label) FROM embeddings WHERE label % 3 = 0) + 1) t(id)"
 EVENTS = """WITH c AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS y, CAST(user_id AS INT) AS x, event_type AS t, sum(value) AS v FROM events GROUP BY ALL),
 k AS (SELECT DISTINCT y, x FROM c), t AS (SELECT DISTINCT t FROM c), px AS (SELECT k.y, k.x, t.t, coalesce(c.v, 0) AS v FROM k CROSS JOIN t LEFT JOIN c ON c.y = k.y AND c.x = k.x AND c.t = t.t),
 d AS (SELECT a.y, a.x, o.plane, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS w FROM px a JOIN (VALUES (0, 0, 1), (1, 1, 0)) AS o(plane, dy, dx) ON TRUE JOIN px b ON b.y = a.y + o.dy AND b.x = a.x + o.dx AND b.t = a.t GROUP BY ALL)
