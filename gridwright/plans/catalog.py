@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree
-from gridwright.plans import sql
+from gridwright.plans import demo, sql
 from gridwright.sources import tables
 from gridwright.sources.tables import WIDTH
 
@@ -235,3 +235,6 @@ query("binary_labels", sql.BINARY_LABELS)(lambda s, d: morphology.binary_labels(
 def connected_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
     return regions.connected_overlap(segm, tables.label_segm(spark, sf_dir))
+
+
+query("demo_products")(lambda s, d: demo.counts(tables.scalar_pixels(s, d), WIDTH))
