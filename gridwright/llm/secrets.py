@@ -82,9 +82,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """docs with each live value replaced by `mask`; overlapping ones become one mask. Columns as in docs; null texts stay null.
 
     Rows are matched by their text and id, as equal rows have equal spans."""
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")]
-    keyed = save(docs.withColumn("_redact_key", F.sha2(F.concat_ws("\x00", *key), 256)), "secrets-docs")
-    own = keyed.select(F.col("_redact_key").alias("_key_as_id"), F.col(text_col).alias("_text"), F.col(owner_col).alias("_owner") if owner_col in docs.columns else F.lit("").alias("_owner"))
+    text_or_none = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")
+    key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(text_or_none, 256), owner), 256)
+    suspect = text_or_none.rlike(ASSIGN) | text_or_none.rlike(ACCESS) | text_or_none.rlike(HEX)
+    keyed = save(docs.withColumns({"_redact_key": key, "_suspect": suspect}), "secrets-docs")
+    # only texts with a candidate are scanned and dealt out again; all others pass where they are
+    own = keyed.where("_suspect").select(F.col("_redact_key").alias("_key_as_id"), F.col(text_col).alias("_text"), owner.alias("_owner"))
     found = scan(own, "_key_as_id", "_text", "_owner", **limits)
     live = F.filter("spans", lambda s: s["kind"] == 3)
     hits = save(found.select(F.col("id").alias("_redact_key"), live.alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_redact_key"]), "secrets-live")
@@ -98,7 +102,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         return F.struct(F.when(fresh, F.concat(acc["out"], F.array(piece, F.lit(mask)))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     clean = F.aggregate("_live", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return keyed.join(hits, "_redact_key", "left").withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(clean)).select(docs.columns)
+    masked = keyed.where("_suspect").join(hits, "_redact_key", "left").withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(clean))
+    return keyed.where("not _suspect").select(docs.columns).union(masked.select(docs.columns))
 
 
 def _listed(spans: Column) -> Column:
