@@ -12,9 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
-#: Distinct words and space-free runs of text that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Distinct words, and space-free runs of text, in a generation of what a worker remembers.
+REMEMBERED = 250_000
 NEVER = 1 << 62
 #: Text on which normalising is lower-casing alone, and on which Python and the library agree about letters.
 PLAIN = re.compile("[!-~\nÀ-ÖØ-öø-ÿ]*")
@@ -88,7 +88,11 @@ class Encoder:
                 (self.final if last[i] else self.inner)[t.removesuffix(suffix) if last[i] else t] = i
         if not suffix:
             self.final = self.inner
-        self.longest = max(map(len, self.text.values()))
+        #: Of each ending of three symbols, the length of the longest token that ends so.
+        self.reach = [{}, {}]
+        for reach, tokens in zip(self.reach, (self.inner, self.final)):
+            for t in tokens:
+                reach[t[-3:]] = max(reach.get(t[-3:], 0), len(t))
         self.fits: dict[tuple[int, int], bool] = {}
 
     def _crossed(self, x: int, y: int, before: int = NEVER) -> bool:
@@ -110,7 +114,8 @@ class Encoder:
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of each distinct word, in sorted order."""
         token, size = [0], [0]  # of the prefix at each depth: its last token and that token's length
-        inner, final, fits, longest = self.inner, self.final, self.fits, self.longest
+        inner, final, fits = self.inner, self.final, self.fits
+        inner_reach, final_reach = self.reach
         before = ""
         for word in sorted(words):
             n = len(word)
@@ -122,8 +127,8 @@ class Encoder:
             del token[depth + 1 :], size[depth + 1 :]
             before = word[: n - 1]
             for d in range(depth + 1, n + 1):
-                table = final if d == n else inner
-                for k in range(min(d, longest), 0, -1):
+                table, reach = (final, final_reach) if d == n else (inner, inner_reach)
+                for k in range(min(d, reach.get(word[d - 3 : d] if d > 3 else word[:d], 2)), 0, -1):
                     t = table.get(word[d - k : d])
                     if t is None:
                         continue
@@ -145,7 +150,7 @@ class Encoder:
                 ids.append(token[d])
                 d -= size[d]
             ids.reverse()
-            if len(fits) > 4 * REMEMBERED:
+            if len(fits) > 150_000:
                 fits.clear()
             yield word, ids
 
@@ -166,7 +171,26 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library does without a decoder: tokens with a space between."""
-        return " ".join(self.text[i] for i in ids)
+        return " ".join(map(self.text.__getitem__, ids))
+
+
+class Known(dict):
+    """Encodings by string, in two generations: what is asked for again outlives the older one."""
+
+    older: dict = {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+    def lacking(self, wanted: set[str]) -> set[str]:
+        """Those of the wanted strings that neither generation has; the rest is in the younger one after this."""
+        wanted = wanted - self.keys()
+        again = wanted & self.older.keys()
+        for x in again:
+            self[x] = self.older[x]
+        return wanted - again
 
 
 class Memory:
@@ -174,22 +198,18 @@ class Memory:
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path)
-        self.word: dict[str, tuple[bytes, str]] = {}
-        self.run: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.word, self.run = Known(), Known()
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The texts cut at spaces, after every distinct run in them is known."""
         cut = [t.split(" ") for t in texts]
-        if len(self.run) > REMEMBERED:
-            self.run = {"": (b"", "")}
-        if len(self.word) > REMEMBERED:
-            self.word.clear()
-        fresh = {r: self.encoder.pieces(r) for r in set().union(*cut) - self.run.keys()}
-        for w, ids in self.encoder.encode_words({w for ws in fresh.values() for w in ws if isinstance(w, str)} - self.word.keys()):
-            self.word[w] = np.array(ids, "<u4").tobytes(), self.encoder.decode(ids)
+        self.word.age()
+        self.run.age()
+        fresh = {r: self.encoder.pieces(r) for r in self.run.lacking(set().union(*cut))}
+        for w, ids in self.encoder.encode_words(self.word.lacking({w for ws in fresh.values() for w in ws if isinstance(w, str)})):
+            self.word[w] = array("I", ids).tobytes()
         for r, ws in fresh.items():
-            both = [self.word[w] if isinstance(w, str) else (np.array([w], "<u4").tobytes(), self.encoder.text[w]) for w in ws]
-            self.run[r] = b"".join(x for x, _ in both), " ".join(x for _, x in both)
+            self.run[r] = b"".join([self.word[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in ws])
         return cut
 
 
@@ -215,11 +235,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         own = memory(path)
         for b in batches:
             for piece in slices(b, "text"):
-                ids, decoded = [], []
-                for cut in own.learn([t or "" for t in piece.column("text").to_pylist()]):
-                    found = [own.run[r] for r in cut]
-                    ids.append(b"".join([x for x, _ in found]))
-                    decoded.append(" ".join([x for _, x in found if x]))
+                cuts = own.learn([t or "" for t in piece.column("text").to_pylist()])
+                ids = [b"".join(map(own.run.__getitem__, cut)) for cut in cuts]
+                decoded = [own.encoder.decode(array("I", x)) for x in ids]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
