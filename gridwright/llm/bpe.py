@@ -179,8 +179,8 @@ class Known(dict):
 
     older: dict = {}
 
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
+    def age(self, most: int) -> None:
+        if len(self) > most:
             self.older = dict(self)
             self.clear()
 
@@ -198,13 +198,13 @@ class Memory:
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path)
-        self.word, self.run = Known(), Known()
+        self.word, self.run, self.most = Known(), Known(), REMEMBERED
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The texts cut at spaces, after every distinct run in them is known."""
         cut = [t.split(" ") for t in texts]
-        self.word.age()
-        self.run.age()
+        self.word.age(self.most)
+        self.run.age(self.most)
         fresh = {r: self.encoder.pieces(r) for r in self.run.lacking(set().union(*cut))}
         for w, ids in self.encoder.encode_words(self.word.lacking({w for ws in fresh.values() for w in ws if isinstance(w, str)})):
             self.word[w] = array("I", ids).tobytes()
@@ -223,16 +223,17 @@ def memory(path: str) -> Memory:
     return _memory[path]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, decoded text) of each row of docs.
 
     The file must drop white space between words, so that no token crosses a space. A null or empty text has no ids and
     decodes to an empty text. Added tokens in a text are matched as the library does. Rows and ids may repeat or be null.
-    Other columns of docs are not read."""
+    Other columns of docs are not read. remembered: entries in a generation of a worker's memory, REMEMBERED if not given."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = memory(path)
+        own.most = remembered or REMEMBERED
         for b in batches:
             for piece in slices(b, "text"):
                 cuts = own.learn([t or "" for t in piece.column("text").to_pylist()])
