@@ -44,7 +44,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=60_000)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
