@@ -26,8 +26,8 @@ from .common import NOT_SPACE, U64, Words, discard, mix, small_batches, strings,
 
 WINDOW = 13
 SEED = (WINDOW + 1) // 2
-UNIT_BYTES = 5_000_000
-PART_BYTES = 6_000_000
+UNIT_BYTES = 4_000_000
+PART_BYTES = 8_000_000
 LAST = np.iinfo(np.int64).max
 SENT = "unit int, level int, part int, n int, data binary"
 STATE = "unit int, words int, ids binary, doc binary, at binary, hash binary"
@@ -135,7 +135,8 @@ class Unit:
         seeds = window_hashes(h, SEED)
         for d in range(WINDOW - SEED + 1):
             np.minimum(least, seeds[d : d + m], out=least)
-        self.seeds = Hashes(least[self.at], self.ids[doc[self.at]])
+        # least hashes crowd at the low end, so they are spread again
+        self.seeds = Hashes(mix(least[self.at]), self.ids[doc[self.at]])
 
     def extend(self, answers: pa.Table) -> None:
         """Windows whose seed is repeated, and their hashes."""
@@ -172,7 +173,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     unit = F.when(F.col("id").isNull(), len(bounds)).otherwise(number).cast("int")
     name = f"gridwright_substrings_{uuid.uuid4().hex}"
     buckets = max(1, -(-units // 4))
-    rows.select(unit.alias("unit"), "id", "text").repartition(max(buckets, min(units, 64)), "unit").write.bucketBy(buckets, "unit").sortBy("unit").format("parquet").saveAsTable(name)
+    rows.select(unit.alias("unit"), "id", "text").repartition(units, "unit").write.bucketBy(buckets, "unit").sortBy("unit").format("parquet").saveAsTable(name)
     parts = 1
     while parts * PART_BYTES < size:
         parts *= 2
