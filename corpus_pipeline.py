@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright import session
-from gridwright.llm import bpe, common, decontaminate, langid, secrets, simhash
+from gridwright.llm import bpe, common, decontaminate, langid, nearcopies, secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id. Documents without an id stay;
-    of rows with equal ids all stay or none."""
-    copies = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """One document of each group of near copies stays: the one with the smallest doc_id. Near copies share four fifths of
+    their five-word shingles or more. Documents without an id stay; of rows with equal ids all stay or none."""
+    copies = nearcopies.near_copies(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(session.save(copies, "pipeline-copies"), "doc_id", "left_anti").select(docs.columns)
 
 
