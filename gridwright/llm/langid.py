@@ -29,6 +29,8 @@ SAMPLE = 3000
 #: rate in the language that has it most.
 LEAST_RATE = 4e-6
 SHARE = 0.2
+#: N-grams from which on a text can be told to be of no learned language.
+LEAST_GRAMS = 20
 #: Bytes as n-grams see them: letters in lower case, all other ASCII as a space, other bytes as they are.
 VIEW = np.full(256, 0x20, np.uint8)
 VIEW[0x61:0x7B] = VIEW[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -90,15 +92,17 @@ class Filter:
         np.cumsum((seen > 0x60) & (seen < 0x7B), out=run[1:])
         return out, total, np.diff(run[off]) > 0
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array, least_known: float = 0.0) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. A text without a letter is `und` with score 0; one with letters but no known
-        n-gram is of the most frequent language, with one part in the number of languages as score."""
+        n-gram is of the most frequent language, with one part in the number of languages as score. So is `und` a text of
+        LEAST_GRAMS n-grams or more of which its language holds less than `least_known`."""
         clean = strings(texts)
-        out, _, letter = self.counts(clean)
+        out, total, letter = self.counts(clean)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         for i in np.flatnonzero(~letter):
             letter[i] = any(map(str.isalpha, clean[int(i)].as_py()))
+        letter &= (total < LEAST_GRAMS) | (out.max(axis=1) >= least_known * total)
         best = out.argmax(axis=1)
         ordered = np.sort(out, axis=1)
         first, second = ordered[:, -1], ordered[:, -2] if out.shape[1] > 1 else np.zeros(len(out))
@@ -144,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Filter(langs, value, member)
 
 
-def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Filter, text_col: str = "text", least_known: float = 0.0) -> DataFrame:
     """docs with lang_pred and lang_score (columns of these names are replaced). Any row may be null, empty or repeated."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -155,7 +159,7 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in slices(b, text_col):
-                lang, score = shared.value.predict(piece.column(text_col))
+                lang, score = shared.value.predict(piece.column(text_col), least_known)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
