@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import distributed
+
 PLACE = ["image_id", "y", "x"]
 
 
@@ -93,6 +95,28 @@ def connected_overlap(overlaps: DataFrame, truth: DataFrame) -> DataFrame:
     return both.join(na, ["image_id", "segment"]).join(nb, ["image_id", "label"]).select("image_id", "segment", "label", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("iou"))
 
 
+def equal_regions(segm: DataFrame, width: int) -> DataFrame:
+    """(image_id, y, x, label, region): 4-connected pixels of one label are a region, numbered by its smallest pixel."""
+    rows = segm.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "label")
+    span = (rows.agg(F.max("y")).first()[0] or 0) * width + width
+    rows = rows.withColumn("node", F.col("image_id") * span + F.col("y") * width + F.col("x"))
+    moved = rows.withColumn("o", F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")))))
+    moved = moved.select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "label", F.col("node").alias("u"))
+    found = distributed.components(moved.join(rows.withColumnRenamed("node", "v"), [*PLACE, "label"]).select("u", "v"))
+    return rows.join(found, "node", "left").select(*PLACE, "label", (F.coalesce("root", "node") - F.col("image_id") * span).alias("region"))
+
+
+def flooded_overlap(overlaps: DataFrame, truth: DataFrame, width: int) -> DataFrame:
+    """(image_id, segment, label, iou) from pixel tables (image_id, y, x, label) of segments and of classes. The union is the
+    segment and those 4-connected regions of the class that have a pixel in it."""
+    a, b = overlaps.select(*PLACE, F.col("label").alias("segment")), equal_regions(truth, width)
+    size = b.groupBy("image_id", "region").agg(F.count(F.lit(1)).alias("n"))
+    met = a.join(b, PLACE).groupBy("image_id", "segment", "label", "region").agg(F.count(F.lit(1)).alias("i"))
+    both = met.join(size, ["image_id", "region"]).groupBy("image_id", "segment", "label").agg(F.sum("i").alias("i"), F.sum("n").alias("nb"))
+    na = a.groupBy("image_id", "segment").agg(F.count(F.lit(1)).alias("na"))
+    return both.join(na, ["image_id", "segment"]).select("image_id", "segment", "label", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("iou"))
+
+
 def decision(proposals: DataFrame, scores: DataFrame, pixels: DataFrame, t1: float, t2: float, t3: float | None = None) -> DataFrame:
     """(image_id, y, x, class): fuses scored proposals. proposals: image_id, seg, y, x; scores: image_id, seg, class (from 0), f.
 
