@@ -67,7 +67,7 @@ def gradient(f: np.ndarray, alpha: float) -> list[np.ndarray]:
 
 
 def deriche(f: np.ndarray, alpha: float, mode: str, weight: float = 1.0) -> np.ndarray:
-    """modulus, direction (2-D), laplacian, sharpen (f - weight * laplacian), smooth, or dx / dy (absolute derivatives)."""
+    """modulus, direction (2-D: the gradient's angle against the x axis modulo pi, in (-pi/2, pi/2]), laplacian, sharpen (f - weight * laplacian), smooth, or dx / dy (absolute derivatives)."""
     if mode == "smooth":
         out = np.asarray(f, float)
         for axis in range(out.ndim):
@@ -80,7 +80,8 @@ def deriche(f: np.ndarray, alpha: float, mode: str, weight: float = 1.0) -> np.n
     if mode == "modulus":
         return np.sqrt(sum(g**2 for g in parts))
     if mode == "direction":
-        return np.arctan2(parts[0], parts[1])
+        upright = np.abs(parts[1]) < 1e-20
+        return np.where(upright, np.pi / 2, np.arctan(parts[0] / np.where(upright, 1.0, parts[1])))
     if mode in ("dx", "dy"):
         return np.abs(parts[-1] if mode == "dx" else parts[-2])
     raise ValueError(f"unknown mode: {mode}")

@@ -7,6 +7,8 @@ Nodes are 0..n-1. Edge lists are arrays u, v, w in the order in which ties are b
 from __future__ import annotations
 
 import heapq
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,6 +178,19 @@ def lowest_common(father: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return np.where(top == n, -1, top)
 
 
+def flattened(t: Tree, band: np.ndarray, least_area: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes that stay, father of each by its old number): an inner node goes if its band is that of the node it hangs on, or
+    if it has fewer than least_area leaves; its sons then hang on that node. Leaves and roots stay."""
+    area, above = areas(t), t.father.copy()
+    stays = np.ones(len(above), bool)
+    for z in range(len(above) - 1, t.n - 1, -1):
+        f = int(above[z])
+        if f >= 0 and (band[z] == band[f] or area[z] < least_area):
+            stays[z] = False
+            above[t.sons[z]] = f
+    return np.flatnonzero(stays), above
+
+
 def leaves(father: np.ndarray) -> np.ndarray:
     inner = np.zeros(len(father), bool)
     inner[father[father >= 0]] = True
@@ -286,14 +301,43 @@ def conjugate_gradient(times, right: np.ndarray, steps: int = 5000, least: float
     return x
 
 
+def reconstructed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Geodesic dilation of the weights from the edges at seeds: for each edge the least weight on the best way from a seed
+    through it, itself included, that is, the reconstruction of the weights from those edges. nan where no seed reaches."""
+    level = np.full(n, -np.inf)
+    level[seeds] = np.inf
+    at: list[list[int]] = [[] for _ in range(n)]
+    for e, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
+        at[a].append(e)
+        at[b].append(e)
+    heap = [(-np.inf, int(s)) for s in seeds]
+    done = np.zeros(n, bool)
+    while heap:
+        x = heapq.heappop(heap)[1]
+        if done[x]:
+            continue
+        done[x] = True
+        for e in at[x]:
+            y = int(v[e]) if u[e] == x else int(u[e])
+            through = min(level[x], w[e])
+            if through > level[y]:
+                level[y] = through
+                heapq.heappush(heap, (-through, y))
+    best = np.maximum(level[u], level[v])
+    return np.where(np.isneginf(best), np.nan, np.minimum(best, w))
+
+
 def power_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, seeds: dict[int, float]) -> np.ndarray:
-    """Energy minimiser for q = 2 and the power of the weights going to infinity. Edges go by falling weight; a plateau of
+    """Energy minimiser for q = 2 and the power of the weights going to infinity. Edges go by falling reconstructed weight, so that a
+    plateau that no seed is in waits for the level on which one reaches it, and within that by falling weight; a plateau of
     equal ones that meets seeds of two values is solved as a random walk, any other is contracted. Nodes that no seed
     reaches are nan."""
     sets = Sets(n)
     value: dict[int, float] = dict(seeds)
-    order = np.argsort(-w, kind="stable")
-    ends = np.r_[np.flatnonzero(np.diff(w[order])) + 1, len(order)] if len(order) else np.zeros(0, int)
+    level = reconstructed(n, u, v, w, np.array(sorted(seeds), np.int64)) if len(w) else w
+    order = np.lexsort((-w, -np.nan_to_num(level, nan=-np.inf)))
+    changes = (np.diff(w[order]) != 0) | (np.diff(level[order]) != 0)
+    ends = np.r_[np.flatnonzero(changes) + 1, len(order)] if len(order) else np.zeros(0, int)
     begin = 0
     for end in ends.tolist():
         edges = [(sets.find(int(u[e])), sets.find(int(v[e]))) for e in order[begin:end]]
@@ -376,7 +420,8 @@ def min_cover(father: np.ndarray, weight: np.ndarray, running: bool = False) ->
 
 def malis(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, label: np.ndarray, threshold: float, margin: float, pos: bool, neg: bool) -> tuple[float, float, np.ndarray]:
     """Loss, share of wrong pairs, and gradient for each edge. Edges join by falling weight (ties in order); each joins all pairs
-    of labelled nodes of its two sides, and pays a hinge for those of one label and for those of two. Label 0 is none."""
+    of labelled nodes of its two sides, and pays a hinge for those of one label and for those of two. Label 0 is none. Without a pair to
+    judge, loss and share are nan and every gradient 0."""
     sets = Sets(n)
     bags = [{int(k): 1} if k else {} for k in label]
     count = np.unique(label[label != 0], return_counts=True)[1]
@@ -384,7 +429,7 @@ def malis(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, label: np.ndarray
     same = int((count * (count - 1) // 2).sum())
     norm = same * pos + (labelled * (labelled - 1) // 2 - same) * neg
     if not norm:
-        raise ValueError("no pair of labelled nodes to judge")
+        return float("nan"), float("nan"), np.zeros(len(w))
     loss, wrong, slope = 0.0, 0, np.zeros(len(w))
     for e in np.argsort(-w, kind="stable").tolist():
         a, b = sets.find(int(u[e])), sets.find(int(v[e]))
@@ -468,43 +513,92 @@ def regional_minima(image: np.ndarray, connex: int) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def watershed(image: np.ndarray, min_height: int, connex: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Markers are the minima deeper than min_height. Pixels are flooded from them by the lowest pass; a pixel that two basins
-    reach is a divide. (value: the pass on divides, the basin's minimum elsewhere; basin, 0 on divides; number of minima)."""
+class Forks:
+    """The tree in which basins (nodes 1 to n) meet: each merge at a level makes a node over the trees that it joins."""
+
+    def __init__(self, floors: list[int]) -> None:
+        self.level, self.father = [0, *floors], [0] * (len(floors) + 1)
+
+    def root(self, a: int) -> int:
+        while self.father[a]:
+            a = self.father[a]
+        return a
+
+    def merge(self, roots: list[int], level: int) -> int:
+        z = len(self.level)
+        self.level.append(level)
+        self.father.append(0)
+        for r in roots:
+            self.father[r] = z
+        return z
+
+    def line(self, a: int) -> list[int]:
+        """a and all above it."""
+        out = [a]
+        while self.father[out[-1]]:
+            out.append(self.father[out[-1]])
+        return out
+
+    def lowest(self, nodes: set[int]) -> int:
+        """The highest fork of nodes of one tree, or the lowest of them if all lie on one line."""
+        above = {a: self.line(a) for a in nodes}
+        ends = [a for a in nodes if not any(a in above[b][1:] for b in nodes)]
+        if len(ends) == 1:
+            return ends[0]
+        shared = set(above[ends[0]]).intersection(*(above[a] for a in ends[1:]))
+        return next(a for a in above[ends[0]] if a in shared)
+
+
+def watershed(image: np.ndarray, min_height: int, connex: int, topological: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """Markers are the minima deeper than min_height. Pixels are flooded from them by the lowest pass, first come first served.
+
+    topological: a pixel is lowered as far as the lowest passes between all minima allow, to its basin's minimum or to the
+    level on which the basins around it meet; it then is a divide, as are those that only divides lead to. No pixel can be
+    lowered further. Otherwise a pixel that touches two basins when its turn comes is a divide, which passes no water on;
+    divides are thin then, and pixels behind divides alone stay divides, but passes may be lost.
+    (value: the pass on divides, the basin's minimum elsewhere; basin, 0 on divides; number of minima)."""
     smooth = reconstruct_by_erosion(image, min_height, connex)
     marker, n = regional_minima(smooth, connex)
     h, w = image.shape
-    basin = marker.copy()
-    floor = np.zeros(n + 1, np.int64)
-    for k in range(1, n + 1):
-        floor[k] = smooth[marker == k].min()
+    floors = [int(smooth[marker == k].min()) for k in range(1, n + 1)]
+    forks, node = Forks(floors), marker.copy()
     near = neighbours(h, w, connex)
-    heap, turn, queued = [], 0, basin > 0
-    for y, x in np.argwhere(basin > 0).tolist():
-        for dy, dx in near:
-            a, b = y + dy, x + dx
-            if 0 <= a < h and 0 <= b < w and not queued[a, b]:
+    heap: list[tuple[int, int, int, int]] = []
+    turn, queued = 0, marker > 0
+
+    def beside(y: int, x: int) -> Iterator[tuple[int, int]]:
+        return ((y + dy, x + dx) for dy, dx in near if 0 <= y + dy < h and 0 <= x + dx < w)
+
+    def spread(y: int, x: int, level: int) -> None:
+        nonlocal turn
+        for a, b in beside(y, x):
+            if not queued[a, b]:
                 queued[a, b] = True
-                heapq.heappush(heap, (int(smooth[a, b]), turn, a, b))
+                heapq.heappush(heap, (max(level, int(smooth[a, b])), turn, a, b))
                 turn += 1
-    value = np.where(basin > 0, floor[basin], smooth)
+
+    for y, x in np.argwhere(marker > 0).tolist():
+        spread(y, x, 0)
+    value = np.where(marker > 0, np.array([0, *floors])[marker], smooth)
     while heap:
         level, _, y, x = heapq.heappop(heap)
-        around = {int(basin[y + dy, x + dx]) for dy, dx in near if 0 <= y + dy < h and 0 <= x + dx < w} - {0}
-        if len(around) == 1:
-            basin[y, x] = next(iter(around))
-            value[y, x] = floor[basin[y, x]]
-        else:
+        around = {int(node[q]) for q in beside(y, x)} - {0}
+        if not topological and len(around) > 1:
             value[y, x] = level
-            if not around:  # behind a divide: opens when a neighbour is settled
-                continue
-        for dy, dx in near:
-            a, b = y + dy, x + dx
-            if 0 <= a < h and 0 <= b < w and not queued[a, b]:
-                queued[a, b] = True
-                heapq.heappush(heap, (max(level, int(smooth[a, b])), turn, a, b))
-                turn += 1
-    return value, basin, n
+            continue
+        roots = sorted({forks.root(a) for a in around})
+        node[y, x] = z = forks.merge(roots, level) if len(roots) > 1 else forks.lowest(around)
+        value[y, x] = forks.level[z]
+        spread(y, x, level)
+    # what was settled later may let a divide sink further
+    todo = deque(sorted(((int(value[y, x]), y, x) for y, x in np.argwhere(node > n).tolist())))
+    while todo:
+        _, y, x = todo.popleft()
+        under = {int(node[q]) for q in beside(y, x) if value[q] < value[y, x]}
+        if under and forks.level[z := forks.lowest(under)] < value[y, x]:
+            node[y, x], value[y, x] = z, forks.level[z]
+            todo.extend((int(value[q]), *q) for q in beside(y, x) if node[q] > n and value[q] > value[y, x])
+    return value, np.where(node > n, 0, node), n
 
 
 def component_tree(image: np.ndarray, connex: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -137,8 +137,9 @@ def decision(proposals: DataFrame, scores: DataFrame, pixels: DataFrame, t1: flo
 
 
 def random_colour(label: Column, channels: int = 3) -> Column:
-    """Deterministic stand-in for a random colour: hashes of the label, in [0, 1)."""
-    return F.array(*[F.pmod(F.xxhash64(label.cast("long"), F.lit(c)), F.lit(1 << 20)) / float(1 << 20) for c in range(channels)])
+    """Deterministic stand-in for a random colour: the first 20 bits of MD5 of label:channel, in [0, 1)."""
+    drawn = lambda c: F.conv(F.substring(F.md5(F.concat(label.cast("long").cast("string"), F.lit(f":{c}")).cast("binary")), 1, 5), 16, 10)
+    return F.array(*[drawn(c).cast("double") / float(1 << 20) for c in range(channels)])
 
 
 def colorize(segm: DataFrame, colormap: DataFrame | None = None, channels: int = 3) -> DataFrame:
@@ -151,6 +152,14 @@ def colorize(segm: DataFrame, colormap: DataFrame | None = None, channels: int =
     return segm.withColumn("label", F.col("label").cast("long")).join(known, "label", "left").select(*PLACE, F.when(unset, fallback).otherwise(F.col("known")).alias("color"))
 
 
+def drawn_colormap(segm: DataFrame, colormap: DataFrame | None = None, channels: int = 3) -> DataFrame:
+    """(id, color): the colour map that colorize() draws with, one row for each label of segm and of the given map."""
+    ids = segm.select(F.col("label").cast("long").alias("label")).distinct()
+    if colormap is not None:
+        ids = ids.union(colormap.select(F.col("id").cast("long"))).distinct()
+    return colorize(ids.select(F.lit(0).alias("image_id"), F.lit(0).alias("y"), F.col("label").alias("x"), "label"), colormap, channels).select(F.col("x").alias("id"), "color")
+
+
 def colormap(colors: DataFrame, default: float = 0.0) -> DataFrame:
     """(id, color) for every id from 0 to the largest; those without a colour are filled with the default."""
     bounds = colors.agg(F.max("id").alias("top"), F.max(F.size("color")).alias("n"))

@@ -72,15 +72,16 @@ def segment_sparse(edges: DataFrame, thres: float = 3, minsize: int = 20, adapti
     return per_group(edges, "graph_id", run, "node long, label long")
 
 
-def watershed(gradient: DataFrame, min_height: float = 0.05, connex: int = 4) -> DataFrame:
+def watershed(gradient: DataFrame, min_height: float = 0.05, connex: int = 4, topological: bool = True) -> DataFrame:
     """(image_id, y, x, v, basin, n_minima, n_labels) of scalar maps image_id, y, x, v in [0, 1]. v comes back over 255 levels:
-    the basin's minimum, or the pass on a divide, where basin is 0. n_labels is n_minima + 1. Images are full rectangles."""
+    the basin's minimum, or the pass on a divide, where basin is 0. n_labels is n_minima + 1. Images are full rectangles. topological: passes between minima are kept, divides may be
+    thick; otherwise divides are thin."""
 
     def run(c: dict) -> dict:
         h, w = int(c["y"].max()) + 1, int(c["x"].max()) + 1
         image = np.full((h, w), 255, np.int64)
         image[c["y"], c["x"]] = np.floor(np.clip(np.round(c["v"], 9) * 255, 0, 255)).astype(np.int64)
-        value, basin, n = kernels.watershed(image, int(min_height * 255), connex)
+        value, basin, n = kernels.watershed(image, int(min_height * 255), connex, topological)
         return {"y": c["y"], "x": c["x"], "v": value[c["y"], c["x"]] / 255.0, "basin": basin[c["y"], c["x"]], "n_minima": np.full(len(c["y"]), n), "n_labels": np.full(len(c["y"]), n + 1)}
 
     return per_group(gradient, "image_id", run, "y int, x int, v double, basin long, n_minima long, n_labels long")

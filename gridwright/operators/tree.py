@@ -190,12 +190,19 @@ def label_at_level(tree: DataFrame, k: float) -> DataFrame:
     return per_group(tree, "image_id", run, "pixel long, label long")
 
 
-def flatten(tree: DataFrame, bounds: tuple[float, ...] = (10, 30, 150, 300, 500)) -> DataFrame:
-    """(image_id, node, band): the altitude band of each node, 0 below the first bound."""
-    band = F.lit(0)
-    for b in bounds:
-        band = band + (F.col("altitude") >= b).cast("int")
-    return tree.select("image_id", "node", band.alias("band"))
+def flatten(tree: DataFrame, bounds: tuple[float, ...] = (10, 30, 150, 300, 500), least_area: int = 1) -> DataFrame:
+    """(image_id, node, father, band, area, source): the tree in altitude bands, 0 for leaves and 1 to len(bounds) + 1 above. An
+    inner node of its father's band, or of fewer than least_area pixels, is merged into its father; what is left is
+    numbered anew, in the old order. source: the old number."""
+
+    def run(c: dict) -> dict:
+        t, c, _ = _tree(c)
+        band = np.where(np.arange(len(t.father)) < t.n, 0, 1 + np.searchsorted(np.array(bounds, float), c["altitude"].astype(float), "right"))
+        stay, above = kernels.flattened(t, band, least_area)
+        father = np.where(above[stay] < 0, -1, np.searchsorted(stay, above[stay]))
+        return {"node": np.arange(len(stay)), "father": father, "band": band[stay], "area": kernels.areas(t)[stay], "source": stay}
+
+    return per_group(tree, "image_id", run, "node int, father int, band int, area long, source int")
 
 
 def dump(tree: DataFrame) -> DataFrame:

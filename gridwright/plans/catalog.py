@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree
-from gridwright.plans import demo, sql
+from gridwright.plans import demo, sequential, sql
 from gridwright.sources import tables
 from gridwright.sources.tables import WIDTH
 
@@ -45,9 +45,12 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merge tree with a weight for every node, made from its number."""
+    """The merge tree with a weight for every node, all different, large at the top and small below, so that cuts run through the tree."""
     t = _tree(spark, sf_dir)
-    return tree.weight_tree(t, t.select("image_id", (F.col("node") + 1).alias("node"), ((F.col("node") + 1) * 37 % 101 / 101).alias("weight")))
+    n = t.where("is_leaf").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    mixed = F.col("node") * 7919 % 10007
+    weight = F.when(10 * F.col("node") >= 18 * F.col("n"), (10007 + mixed) / 20014).otherwise((1 + mixed) / (20014 * F.col("n")))
+    return tree.weight_tree(t, t.join(n, "image_id").select("image_id", (F.col("node") + 1).alias("node"), weight.alias("weight")))
 
 
 for _name, _connex, _metric, _weight in (("graph_euclid4", 4, "euclid", sql.EUCLID), ("graph_max4", 4, "max", sql.MAXIMUM), ("graph_angle4", 4, "angle", sql.ANGLE), ("graph_euclid8", 8, "euclid", sql.EUCLID)):
@@ -95,7 +98,7 @@ def segment_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.38, 1, adaptive=False)
 
 
-@query("segment_adaptive")
+@query("segment_adaptive", sequential.segment(sql.EUCLID, "label"))
 def segment_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 3, 20)
 
@@ -105,9 +108,14 @@ def segment_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_sparse(tables.order_graph(spark, sf_dir), 0.2, 5)
 
 
-@query("watershed", v=6)
-def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.watershed(tables.scalar_map(spark, sf_dir), 0.05, 4)
+query("watershed", v=6)(lambda s, d: segment.watershed(tables.scalar_map(s, d), 0.05, 4))
+query("watershed_thin", sequential.WATERSHED, v=6)(lambda s, d: segment.watershed(tables.scalar_map(s, d), 0.05, 4, topological=False))
+
+
+@query("watershed_minima", sequential.WATERSHED_MINIMA, v=6)
+def watershed_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no order of flooding changes: the minimum and the number of each basin."""
+    return segment.watershed(tables.scalar_map(spark, sf_dir), 0.05, 4).where("basin > 0").groupBy("image_id", "basin", "n_minima").agg(F.min("v").alias("v"), F.max("v").alias("highest")).where("v = highest").drop("highest")
 
 
 @query("mst_edges", sql.MST)
@@ -130,7 +138,7 @@ def hierarchy_arb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.hierarchy_arb(levels, tables.scalar_map(spark, sf_dir), WIDTH).drop("sons", "weight")
 
 
-@query("hierarchy_scale")
+@query("hierarchy_scale", sql.HIERARCHY_SCALE)
 def hierarchy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = _scalar_graph(spark, sf_dir).withColumn("w", F.col("w") * 255)
     return tree.hierarchy_scale(levels, tables.scalar_map(spark, sf_dir), WIDTH).drop("sons", "weight")
@@ -139,16 +147,16 @@ def hierarchy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("tree_levels", sql.TREE_LEVELS)(lambda s, d: tree.levels(_tree(s, d)))
 query("tree_adjacency", sql.TREE_ADJACENCY)(lambda s, d: tree.adjacency(_tree(s, d)))
 query("tree_components", sql.TREE_COMPONENTS, centroid_x=6, centroid_y=6)(lambda s, d: tree.components(_tree(s, d), WIDTH))
-query("tree_masks")(lambda s, d: tree.masks(_tree(s, d)))
-query("tree_dump")(lambda s, d: tree.dump(_tree(s, d)))
-query("tree_text")(lambda s, d: tree.text(_tree(s, d)))
-query("tree_graphviz")(lambda s, d: tree.graphviz(_tree(s, d)))
-query("tree_bands")(lambda s, d: tree.flatten(_tree(s, d)))
+query("tree_masks", sql.TREE_MASKS)(lambda s, d: tree.masks(_tree(s, d)))
+query("tree_dump", sql.TREE_DUMP)(lambda s, d: tree.dump(_tree(s, d)))
+query("tree_text", sql.TREE_TEXT)(lambda s, d: tree.text(_tree(s, d)))
+query("tree_graphviz", sql.TREE_GRAPHVIZ)(lambda s, d: tree.graphviz(_tree(s, d)))
+query("tree_bands", sql.tree_bands((4, 8, 16, 24, 40), 3))(lambda s, d: tree.flatten(_tree(s, d), (4, 8, 16, 24, 40), 3))
 query("label_at_level", sql.LABEL_AT_LEVEL)(lambda s, d: tree.label_at_level(_tree(s, d), 20))
 query("saliency", sql.SALIENCY, w=6)(lambda s, d: tree.saliency(_tree(s, d), _scalar_graph(s, d)))
 query("filter_surface", sql.FILTER_SURFACE, attr_altitude=6)(lambda s, d: tree.filter_tree(_tree(s, d), "surface").select("image_id", "node", "altitude", "attr_altitude"))
 for _mode in ("volume", "dynamic", "alphaomega"):
-    query(f"filter_{_mode}", attr_altitude=6)(lambda s, d, m=_mode: tree.filter_tree(_tree(s, d), m).drop("sons", "weight"))
+    query(f"filter_{_mode}", sql.filter_tree(_mode), attr_altitude=6)(lambda s, d, m=_mode: tree.filter_tree(_tree(s, d), m).drop("sons", "weight"))
 
 
 @query("tree_weights", sql.TREE_WEIGHTS, weight=6)
@@ -158,8 +166,8 @@ def tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.weight_tree(t, some).select("image_id", "node", "weight")
 
 
-for _key, _mode in (("cut_kruskal", "Kruskal"), ("cut_prim", "Prim"), ("cut_power_watershed", "PWatershed"), ("cut_graph", "Graphcuts")):
-    query(_key)(lambda s, d, m=_mode: cuts.cut_tree(_weighted(s, d), m))
+for _key, _mode, _sql in (("cut_kruskal", "Kruskal", sql.CUT_FOREST), ("cut_prim", "Prim", sql.CUT_FOREST), ("cut_power_watershed", "PWatershed", sql.CUT_FOREST), ("cut_graph", "Graphcuts", sequential.CUT_MINIMUM)):
+    query(_key, _sql)(lambda s, d, m=_mode: cuts.cut_tree(_weighted(s, d), m))
 query("min_cover", sql.MIN_COVER)(lambda s, d: cuts.cut_tree(_weighted(s, d), "MinCover"))
 
 
@@ -183,10 +191,10 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decision_fusion", sql.DECISION)
 def decision_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals are pairs of neighbouring labels; scores are means of the first channels."""
+    """Proposals are pairs of neighbouring labels; scores are means of the channels."""
     rows = tables.embedding_pixels(spark, sf_dir).join(tables.label_segm(spark, sf_dir), regions.PLACE)
     rows = rows.withColumn("seg", F.explode(F.array("label", (F.col("label") + 9) % 10)))
-    scores = rows.select("image_id", "seg", F.posexplode(F.slice("f", 1, 4)).alias("class", "v")).groupBy("image_id", "seg", "class").agg(F.abs(F.avg(F.col("v").cast("double"))).alias("f"))
+    scores = rows.select("image_id", "seg", F.posexplode("f").alias("class", "v")).groupBy("image_id", "seg", "class").agg(F.abs(F.avg(F.col("v").cast("double"))).alias("f"))
     return regions.decision(rows.select("image_id", "seg", "y", "x"), scores, tables.label_segm(spark, sf_dir), 0.3, 0.01)
 
 
@@ -197,7 +205,12 @@ def colorize_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.colorize(segm, colours).select("image_id", "y", "x", *[F.col("color")[i].alias(c) for i, c in enumerate("rgb")])
 
 
-query("colorize_hash")(lambda s, d: regions.colorize(tables.label_segm(s, d)))
+def _rgb(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col("color")[i].alias(c) for i, c in enumerate("rgb")])
+
+
+query("colorize_hash", sql.COLORIZE_HASH)(lambda s, d: _rgb(regions.colorize(tables.label_segm(s, d)), "image_id", "y", "x"))
+query("colorize_drawn", sql.COLORIZE_DRAWN)(lambda s, d: _rgb(regions.drawn_colormap(tables.label_segm(s, d)), "id"))
 
 
 @query("colormap", sql.COLORMAP)
@@ -211,8 +224,8 @@ def _malis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return malis.malis(_scalar_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, "min", 0.1, 0.05)
 
 
-query("malis_loss", value=6)(lambda s, d: malis.metric(_malis(s, d), "loss"))
-query("malis_gradient", gradient=9)(lambda s, d: _malis(s, d).select("image_id", "plane", "y", "x", "gradient"))
+query("malis_loss", sql.MALIS_LOSS, value=6)(lambda s, d: malis.metric(_malis(s, d), "loss"))
+query("malis_gradient", sql.MALIS_GRADIENT, gradient=9)(lambda s, d: _malis(s, d).select("image_id", "plane", "y", "x", "gradient"))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,21 +233,21 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _mode in ("modulus", "direction", "laplacian", "sharpen", "smooth", "dx", "dy"):
-    query(f"deriche_{_mode}", v=9)(lambda s, d, m=_mode: morphology.deriche(tables.scalar_map(s, d), 1.0, m))
-query("shen_castan", v=9)(lambda s, d: morphology.shen_castan(tables.scalar_map(s, d), 0.5))
-query("h_minima")(lambda s, d: morphology.h_minima(_levels(s, d), 12))
-query("h_maxima")(lambda s, d: morphology.h_maxima(_levels(s, d), 12))
-query("regional_minima")(lambda s, d: morphology.extrema(_levels(s, d), "minima"))
-query("regional_maxima")(lambda s, d: morphology.extrema(_levels(s, d), "maxima"))
-query("component_tree")(lambda s, d: morphology.component_tree(_levels(s, d)))
-query("strongest_maxima")(lambda s, d: morphology.strongest(_levels(s, d), 10))
+    query(f"deriche_{_mode}", sql.deriche(_mode), v=9)(lambda s, d, m=_mode: morphology.deriche(tables.scalar_map(s, d), 1.0, m))
+query("shen_castan", sql.SHEN_CASTAN, v=9)(lambda s, d: morphology.shen_castan(tables.scalar_map(s, d), 0.5))
+query("h_minima", sequential.filled(1))(lambda s, d: morphology.h_minima(_levels(s, d), 12))
+query("h_maxima", sequential.filled(-1))(lambda s, d: morphology.h_maxima(_levels(s, d), 12))
+query("regional_minima", sequential.extrema(1))(lambda s, d: morphology.extrema(_levels(s, d), "minima"))
+query("regional_maxima", sequential.extrema(-1))(lambda s, d: morphology.extrema(_levels(s, d), "maxima"))
+query("component_tree", sequential.COMPONENT_TREE)(lambda s, d: morphology.component_tree(_levels(s, d)))
+query("strongest_maxima", sequential.STRONGEST)(lambda s, d: morphology.strongest(_levels(s, d), 10))
 query("binary_labels", sql.BINARY_LABELS)(lambda s, d: morphology.binary_labels(tables.scalar_map(s, d).withColumn("v", (F.col("v") >= 0.5).cast("int")), WIDTH))
 
 
 @query("connected_overlap", sql.CONNECTED_OVERLAP, iou=6)
 def connected_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
-    return regions.connected_overlap(segm, tables.label_segm(spark, sf_dir))
+    return regions.flooded_overlap(segm, tables.label_segm(spark, sf_dir), WIDTH)
 
 
-query("demo_products")(lambda s, d: demo.counts(tables.scalar_pixels(s, d), WIDTH))
+query("demo_products", sequential.DEMO)(lambda s, d: demo.counts(tables.scalar_pixels(s, d), WIDTH))

@@ -39,18 +39,31 @@ COMPONENTS = f"WITH RECURSIVE {labels(2, 'w < 1.35')} SELECT {ROUNDED} FROM (SEL
 PATCHES = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, box AS (SELECT lab.label AS id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM px JOIN lab USING (p) GROUP BY 1 HAVING count(*) >= 3)
 SELECT image_id, id, y - t AS y, x - l AS x, round(f[1], 6) AS f0, lab.label = id AS inside FROM box JOIN px ON x BETWEEN l AND r AND y BETWEEN t AND b JOIN lab USING (p)"""
 
-#: Edges of the scalar image in the order in which they are merged, and those of the spanning tree, numbered.
-_RANKED = f"""{PX}, {edges('e', SCALAR, 2)}, q AS (SELECT *, CAST(floor(least(greatest(round(w, 9) * 255, 0), 255)) AS INT) AS q FROM e),
-r AS (SELECT *, row_number() OVER (ORDER BY q, plane, y, x) AS rank FROM q), ways AS (SELECT rank, src AS a, dst AS b FROM r UNION ALL SELECT rank, dst, src FROM r),
+#: Weights on 255 levels, and the order of ties in merge trees.
+LEVELS, TIES = "CAST(floor(least(greatest(round(w, 9) * 255, 0), 255)) AS INT)", "plane, y, x"
+
+
+def forest(level: str = LEVELS, ties: str = TIES) -> str:
+    """CTEs: edges r of the scalar image, ranked as they are merged by q and ties, and those of the spanning tree, mst, numbered by k."""
+    return f"""{PX}, {edges('e', SCALAR, 2)}, q AS (SELECT *, {level} AS q FROM e),
+r AS (SELECT *, row_number() OVER (ORDER BY q, {ties}) AS rank FROM q), ways AS (SELECT rank, src AS a, dst AS b FROM r UNION ALL SELECT rank, dst, src FROM r),
 seen(rank, node) AS (SELECT rank, src FROM r UNION SELECT seen.rank, ways.b FROM seen JOIN ways ON ways.a = seen.node AND ways.rank < seen.rank),
 mst AS (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM r WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.rank = r.rank AND seen.node = r.dst))"""
-#: side(k, s, node): pixels on both sides of the k-th merge; son(k, s, id): the node on each side; n: number of pixels.
-_TREE = f"""{_RANKED}, ends AS (SELECT k, src AS a, dst AS b FROM mst UNION ALL SELECT k, dst, src FROM mst),
-side(k, s, node) AS (SELECT k, s, node FROM (SELECT k, 0 AS s, src AS node FROM mst UNION ALL SELECT k, 1, dst FROM mst) UNION SELECT side.k, side.s, ends.b FROM side JOIN ends ON ends.a = side.node AND ends.k < side.k),
-num AS (SELECT count(*) AS n FROM px),
-son AS (SELECT side.k, side.s, coalesce((SELECT n FROM num) - 1 + max(ends.k), min(node)) AS id FROM side LEFT JOIN ends ON ends.a = side.node AND ends.k < side.k GROUP BY 1, 2),
-node AS (SELECT p AS node, TRUE AS is_leaf, 0 AS level, CAST(NULL AS BIGINT) AS k FROM px UNION ALL SELECT (SELECT n FROM num) - 1 + k, FALSE, q, k FROM mst),
-tree AS (SELECT CAST(node.node AS INT) AS node, CAST(coalesce((SELECT n FROM num) - 1 + son.k, -1) AS INT) AS father, is_leaf, level, node.k FROM node LEFT JOIN son ON son.id = node.node)"""
+
+
+def nodes(mst: str = "mst", end: str = "") -> str:
+    """CTEs over a numbered forest: side(k, s, node): pixels on both sides of the k-th merge; son(k, s, id): the node on each side;
+    num.n: number of pixels; tree: all nodes."""
+    return f"""ends{end} AS (SELECT k, src AS a, dst AS b FROM {mst} UNION ALL SELECT k, dst, src FROM {mst}),
+side{end}(k, s, node) AS (SELECT k, s, node FROM (SELECT k, 0 AS s, src AS node FROM {mst} UNION ALL SELECT k, 1, dst FROM {mst}) UNION SELECT side{end}.k, side{end}.s, ends{end}.b FROM side{end} JOIN ends{end} ON ends{end}.a = side{end}.node AND ends{end}.k < side{end}.k),
+num{end} AS (SELECT count(*) AS n FROM px),
+son{end} AS (SELECT s.k, s.s, coalesce((SELECT n FROM num{end}) - 1 + max(t.k), min(node)) AS id FROM side{end} s LEFT JOIN ends{end} t ON t.a = s.node AND t.k < s.k GROUP BY 1, 2),
+node{end} AS (SELECT p AS node, TRUE AS is_leaf, 0 AS level, CAST(NULL AS BIGINT) AS k FROM px UNION ALL SELECT (SELECT n FROM num{end}) - 1 + k, FALSE, q, k FROM {mst}),
+tree{end} AS (SELECT CAST(t.node AS INT) AS node, CAST(coalesce((SELECT n FROM num{end}) - 1 + u.k, -1) AS INT) AS father, is_leaf, level, t.k FROM node{end} t LEFT JOIN son{end} u ON u.id = t.node)"""
+
+
+_RANKED = forest()
+_TREE = f"{_RANKED}, {nodes()}"
 
 
 def tree(select: str) -> str:
@@ -67,7 +80,8 @@ ON m.plane = e.plane AND m.y = e.y AND m.x = e.x JOIN mst USING (k)""")
 TREE_COMPONENTS = tree(f"SELECT {ROUNDED} FROM (SELECT CAST(0 AS BIGINT) AS image_id, CAST(id AS BIGINT) AS id, {GEOMETRY} FROM (SELECT p + 1 AS id, y, x FROM px UNION ALL SELECT (SELECT n FROM num) + k, y, x FROM side JOIN px ON px.p = side.node) GROUP BY 1, 2)")
 FILTER_SURFACE = tree("""SELECT CAST(0 AS BIGINT) AS image_id, tree.node, level AS altitude, round(coalesce(s, 0), 6) AS attr_altitude FROM tree LEFT JOIN
 (SELECT CAST((SELECT n FROM num) - 1 + row_number() OVER (ORDER BY s, k) AS INT) AS node, CAST(s AS DOUBLE) AS s FROM (SELECT k, min(c) AS s FROM (SELECT k, s, count(*) AS c FROM side GROUP BY 1, 2) GROUP BY k)) USING (node)""")
-MIN_COVER = f"""WITH RECURSIVE {_TREE}, wt AS (SELECT node, father, is_leaf, ((node + 1) * 37 % 101) / 101 AS w FROM tree),
+WEIGHT = "CASE WHEN 10 * node >= 18 * (SELECT n FROM num) THEN (10007 + node * 7919 % 10007) / 20014 ELSE (1 + node * 7919 % 10007) / (20014 * (SELECT n FROM num)) END"
+MIN_COVER = f"""WITH RECURSIVE {_TREE}, wt AS (SELECT node, father, is_leaf, {WEIGHT} AS w FROM tree),
 walk(node, is_leaf, w, pick) AS (SELECT node, is_leaf, w, node FROM wt WHERE father = -1 UNION ALL SELECT wt.node, wt.is_leaf, wt.w, CASE WHEN wt.w < walk.w THEN wt.node ELSE walk.pick END FROM walk JOIN wt ON wt.father = walk.node)
 SELECT DISTINCT CAST(0 AS BIGINT) AS image_id, pick + 1 AS node FROM walk WHERE is_leaf"""
 LABEL_AT_LEVEL = f"""WITH RECURSIVE {PX}, {edges('e', SCALAR, 2)}, near AS (SELECT src AS a, dst AS b FROM e WHERE floor(round(w, 9) * 255) <= 20 UNION SELECT dst, src FROM e WHERE floor(round(w, 9) * 255) <= 20),
@@ -95,7 +109,7 @@ ADJACENCY = f"WITH {PX}, {NEAR} SELECT image_id, a AS id, b AS neighbor FROM n U
 ADJACENCY_LISTS = f"WITH {PX}, {NEAR} SELECT image_id, a AS id, string_agg(DISTINCT CAST(b AS VARCHAR), ',' ORDER BY CAST(b AS VARCHAR)) AS neighbors FROM (SELECT * FROM n UNION SELECT image_id, b, a FROM n) GROUP BY 1, 2"
 OVERLAP = f"""WITH {PX}, s AS (SELECT * FROM px WHERE g >= 0.5) SELECT CAST(0 AS BIGINT) AS image_id, CAST(c AS INT) AS class, round((SELECT count(*) FROM s WHERE label = c) / (SELECT count(*) FROM s), 6) AS ratio FROM range(1, 12) t(c)"""
 DECISION = f"""WITH {PX}, prop AS (SELECT image_id, label AS seg, y, x, f FROM px UNION ALL SELECT image_id, (label + 9) % 10, y, x, f FROM px),
-sc AS (SELECT seg, c - 1 AS class, abs(avg(f[c])) AS f FROM prop, range(1, 5) t(c) GROUP BY seg, c), lead AS (SELECT seg FROM sc ORDER BY f DESC, seg LIMIT 1),
+sc AS (SELECT seg, c - 1 AS class, abs(avg(f[c])) AS f FROM prop, range(1, 65) t(c) GROUP BY seg, c), lead AS (SELECT seg FROM sc ORDER BY f DESC, seg LIMIT 1),
 n AS (SELECT seg, count(*) AS n FROM prop GROUP BY seg), lp AS (SELECT y, x FROM prop WHERE seg = (SELECT seg FROM lead)),
 k AS (SELECT seg, count(*) AS k FROM prop JOIN lp USING (y, x) GROUP BY seg), voters AS (SELECT seg FROM k JOIN n USING (seg) WHERE k / least(n, (SELECT count(*) FROM lp)) > 0.3),
 g AS (SELECT y, x, class, sum(sc.f) AS g FROM prop JOIN voters USING (seg) JOIN sc USING (seg) GROUP BY 1, 2, 3), top AS (SELECT y, x, max(g) AS g, arg_min(class, (-g, class)) AS class FROM g GROUP BY 1, 2)
@@ -109,6 +123,112 @@ SELECT plane, y, x, round(w, 4) AS w FROM d"""
 
 BINARY_LABELS = f"""WITH RECURSIVE {PX}, bright AS (SELECT * FROM px WHERE g >= 0.5), near AS (SELECT a.p AS a, b.p AS b FROM bright a JOIN bright b ON abs(a.y - b.y) + abs(a.x - b.x) = 1),
 reach(a, b) AS (SELECT p, p FROM bright UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b) SELECT image_id, y, x, label FROM (SELECT a AS p, min(b) AS label FROM reach GROUP BY a) l JOIN (SELECT image_id, y, x, p FROM px) px USING (p)"""
-CONNECTED_OVERLAP = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, s AS (SELECT image_id, lab.label AS segment, px.label AS label FROM px JOIN lab USING (p)),
-i AS (SELECT image_id, segment, label, count(*) AS i FROM s GROUP BY ALL), a AS (SELECT segment, count(*) AS na FROM s GROUP BY 1), b AS (SELECT label, count(*) AS nb FROM s GROUP BY 1)
-SELECT image_id, segment, label, round(i / (na + nb - i), 6) AS iou FROM i JOIN a USING (segment) JOIN b USING (label)"""
+CONNECTED_OVERLAP = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, s AS (SELECT image_id, p, lab.label AS segment, px.label AS label FROM px JOIN lab USING (p)),
+like_near AS (SELECT a.p AS a, b.p AS b FROM px a JOIN px b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label = b.label),
+flood(a, b) AS (SELECT p, p FROM px UNION SELECT flood.a, like_near.b FROM flood JOIN like_near ON like_near.a = flood.b), reg AS (SELECT a AS p, min(b) AS region FROM flood GROUP BY a),
+sized AS (SELECT region, count(*) AS n FROM reg GROUP BY 1), met AS (SELECT image_id, segment, label, region, count(*) AS i FROM s JOIN reg USING (p) GROUP BY ALL),
+joint AS (SELECT image_id, segment, label, sum(i) AS i, sum(n) AS nb FROM met JOIN sized USING (region) GROUP BY ALL), a AS (SELECT segment, count(*) AS na FROM s GROUP BY 1)
+SELECT image_id, segment, label, round(i / (na + nb - i), 6) AS iou FROM joint JOIN a USING (segment)"""
+
+#: Sons of each merge, in order.
+_SONS = "sons AS (SELECT k, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS t FROM son GROUP BY k)"
+_DUMP = """dumped AS (SELECT -1 AS line_no, concat('root ', (SELECT max(node) FROM tree WHERE father < 0), ' nbnodes ', (SELECT count(*) FROM tree), ' nbsoncells ', (SELECT count(*) FROM son)) AS line
+UNION ALL SELECT node, concat('node ', node, ' father ', father, ' level ', level, ' sons ' || t) FROM tree LEFT JOIN sons USING (k))"""
+TREE_MASKS = tree("SELECT CAST(0 AS BIGINT) AS image_id, CAST(p + 1 AS BIGINT) AS id, p AS pixel FROM px UNION ALL SELECT 0, (SELECT n FROM num) + k, node FROM side")
+TREE_DUMP = f"WITH RECURSIVE {_TREE}, {_SONS}, {_DUMP} SELECT CAST(0 AS BIGINT) AS image_id, line_no, line FROM dumped"
+TREE_TEXT = f"WITH RECURSIVE {_TREE}, {_SONS}, {_DUMP}, whole AS (SELECT string_agg(line, chr(10) ORDER BY line_no) AS t FROM dumped) SELECT CAST(0 AS BIGINT) AS image_id, CASE WHEN length(t) > 9216 THEN substr(t, 1, 9216) || '...' ELSE t END AS listing FROM whole"
+TREE_GRAPHVIZ = tree("""SELECT CAST(0 AS BIGINT) AS image_id, 0 AS line_no, 'digraph tree {' AS line UNION ALL SELECT 0, 1, concat('  ', father, ' -> ', node, ';') FROM tree WHERE father >= 0
+UNION ALL SELECT 0, 1, concat('  ', node, ' [label="', node, ':', level, '"];') FROM tree UNION ALL SELECT 0, 2, '}'""")
+_FULL = "SELECT CAST(0 AS BIGINT) AS image_id, {t}.node, {t}.father, {t}.is_leaf, {t}.level, {altitude} AS altitude, CAST(CASE WHEN {t}.is_leaf THEN {t}.node END AS BIGINT) AS pixel, {mst}.src AS merge_src, {mst}.dst AS merge_dst"
+
+
+def filter_tree(mode: str) -> str:
+    """The spanning edges ranked anew by the smaller attribute of their sides. The attributes of a side have closed forms, as leaves lie at level 0: its
+    pixels times its level, the level of the merge that ends it, and the range of the levels of the merges in it."""
+    own = "side_of AS (SELECT side.k, side.s, count(*) AS area FROM side GROUP BY 1, 2), within AS (SELECT side.k, side.s, max(m.q) AS high, min(m.q) AS low FROM side JOIN mst m ON m.src = side.node AND m.k < side.k GROUP BY 1, 2)"
+    attr = {"volume": "area * coalesce(high, 0)", "dynamic": "mst.q", "alphaomega": "coalesce(high - low, 0)"}[mode]
+    value = f"worth AS (SELECT k, CAST(min({attr}) AS DOUBLE) AS value FROM side_of LEFT JOIN within USING (k, s) JOIN mst USING (k) GROUP BY k)"
+    again = "mst2 AS (SELECT src, dst, q, value, row_number() OVER (ORDER BY value, k) AS k FROM mst JOIN worth USING (k))"
+    out = _FULL.format(t="tree2", mst="mst2", altitude="tree.level")
+    return f"WITH RECURSIVE {_TREE}, {own}, {value}, {again}, {nodes('mst2', '2')} {out}, round(coalesce(value, 0), 6) AS attr_altitude FROM tree2 JOIN tree USING (node) LEFT JOIN mst2 ON mst2.k = tree2.k"
+
+
+#: The level of a merge is the largest of what the sides of all merges within it ask for.
+HIERARCHY_SCALE = f"""WITH RECURSIVE {forest('w * 255', 'y, x, plane')}, {nodes()},
+asked AS (SELECT t.k AS k, max(greatest(0, CAST(trunc((m.q - coalesce(o.q, 0)) * c.area) AS BIGINT))) AS scale FROM (SELECT k, s, count(*) AS area FROM side GROUP BY 1, 2) c JOIN son USING (k, s) JOIN node d ON d.node = son.id LEFT JOIN mst o ON o.k = d.k JOIN mst m ON m.k = c.k JOIN (SELECT k AS j, k FROM mst UNION SELECT m.k, side.k FROM side JOIN mst m ON m.src = side.node AND m.k < side.k) t ON t.j = c.k GROUP BY 1)
+SELECT CAST(0 AS BIGINT) AS image_id, tree.node, father, is_leaf, CAST(coalesce(scale, 0) AS INT) AS level, CAST(coalesce(scale, 0) AS INT) AS altitude, CAST(CASE WHEN is_leaf THEN tree.node END AS BIGINT) AS pixel, mst.src AS merge_src, mst.dst AS merge_dst FROM tree LEFT JOIN mst USING (k) LEFT JOIN asked USING (k)"""
+
+
+def tree_bands(bounds: tuple[float, ...], least: int) -> str:
+    """A node stays if it is a leaf, a root, or large enough and of another band than its father; bands never fall upwards."""
+    band = " + ".join(f"(level >= {b})::INT" for b in bounds)
+    return f"""WITH RECURSIVE {_TREE}, size AS (SELECT k, count(*) AS area FROM side GROUP BY k), b AS (SELECT tree.*, CASE WHEN is_leaf THEN 0 ELSE 1 + {band} END AS band, coalesce(area, 1) AS area FROM tree LEFT JOIN size USING (k)),
+stay AS (SELECT b.*, row_number() OVER (ORDER BY b.node) - 1 AS nr FROM b LEFT JOIN b f ON f.node = b.father WHERE b.is_leaf OR b.father < 0 OR (b.area >= {least} AND b.band <> f.band)),
+up(node, place) AS (SELECT node, father FROM stay UNION ALL SELECT up.node, b.father FROM up JOIN b ON b.node = up.place WHERE up.place NOT IN (SELECT node FROM stay)),
+hung AS (SELECT up.node, s.nr FROM up JOIN stay s ON s.node = up.place)
+SELECT CAST(0 AS BIGINT) AS image_id, CAST(stay.nr AS INT) AS node, CAST(coalesce(hung.nr, -1) AS INT) AS father, CAST(band AS INT) AS band, CAST(area AS BIGINT) AS area, stay.node AS source FROM stay LEFT JOIN hung USING (node)"""
+
+
+#: A node is on the leaves' side if a way to a marker under a leaf has a larger least weight than the way to the marker over the root; where both ways
+#: start with the same least edge, it goes with its father. All weights differ, so forests by Kruskal, Prim and the power watershed cut alike.
+CUT_FOREST = f"""WITH RECURSIVE {_TREE}, wt AS (SELECT node, father, is_leaf, {WEIGHT} AS w FROM tree),
+way(node, place, low) AS (SELECT node, node, CAST(1 AS DOUBLE) FROM wt UNION ALL SELECT way.node, wt.father, least(low, w) FROM way JOIN wt ON wt.node = way.place WHERE wt.father >= 0),
+below AS (SELECT place AS node, max(low) AS below FROM way JOIN wt USING (node) WHERE is_leaf GROUP BY 1),
+best AS (SELECT way.node, max(least(low, below)) AS best FROM way JOIN below ON below.node = way.place GROUP BY 1),
+root AS (SELECT node, least(low, (SELECT w FROM wt WHERE father < 0)) AS up FROM way WHERE place = (SELECT node FROM wt WHERE father < 0)),
+side_of(node, leaves) AS (SELECT node, best > up FROM wt JOIN best USING (node) JOIN root USING (node) WHERE father < 0 UNION ALL SELECT wt.node, CASE WHEN best = up THEN leaves ELSE best > up END FROM side_of f JOIN wt ON wt.father = f.node JOIN best ON best.node = wt.node JOIN root ON root.node = wt.node),
+cut AS (SELECT node FROM wt JOIN side_of USING (node) JOIN (SELECT node AS father, leaves AS above FROM side_of) USING (father) WHERE leaves <> above UNION SELECT node FROM wt JOIN side_of USING (node) WHERE is_leaf AND NOT leaves)
+SELECT CAST(0 AS BIGINT) AS image_id, CAST(node + 1 AS INT) AS node FROM (SELECT node FROM cut UNION ALL SELECT node FROM wt WHERE father < 0 AND NOT EXISTS (SELECT 1 FROM cut))"""
+
+_HASHED = "CAST('0x' || substr(md5({0} || ':{1}'), 1, 5) AS INT) / 1048576 AS {2}"
+_COLOURS = ", ".join(_HASHED.format("label", i, c) for i, c in enumerate("rgb"))
+COLORIZE_HASH = f"WITH {PX} SELECT image_id, y, x, {_COLOURS} FROM px"
+COLORIZE_DRAWN = f"WITH {PX} SELECT DISTINCT label AS id, {_COLOURS} FROM px"
+
+#: Pairs of labelled pixels that each merge of the spanning tree (by weight itself) joins: alike and unlike.
+_MALIS = f"""{forest('w', 'plane, y, x')}, {nodes()}, c AS (SELECT k, s, label, count(*) AS c FROM side JOIN px ON px.p = side.node WHERE label <> 0 GROUP BY ALL),
+pairs AS (SELECT a.k, sum(a.c * b.c) FILTER (a.label = b.label) AS alike, sum(a.c * b.c) FILTER (a.label <> b.label) AS unlike FROM c a JOIN c b ON a.k = b.k AND a.s = 0 AND b.s = 1 GROUP BY 1),
+judged AS (SELECT mst.*, coalesce(alike, 0) AS alike, coalesce(unlike, 0) AS unlike, 0.05 - (0.1 - w) AS low, 0.05 + (0.1 - w) AS high FROM mst JOIN pairs USING (k)), norm AS (SELECT n * (n - 1) / 2 AS norm FROM (SELECT count(*) AS n FROM px WHERE label <> 0))"""
+MALIS_LOSS = f"WITH RECURSIVE {_MALIS} SELECT CAST(0 AS BIGINT) AS image_id, round(sum(alike * greatest(0, low) + unlike * greatest(0, high)) / (SELECT norm FROM norm), 6) AS value FROM judged"
+MALIS_GRADIENT = f"WITH RECURSIVE {_MALIS} SELECT e.image_id, e.plane, e.y, e.x, round(coalesce(alike * (low > 0)::INT - unlike * (high > 0)::INT, 0) / (SELECT norm FROM norm), 9) AS gradient FROM e LEFT JOIN judged USING (plane, y, x)"
+
+#: Kernels of the recursive filters as sums over 121 taps; the borders repeat.
+_SMOOTH = "(1 + abs(t)) * exp(-abs(t)) * ((1 - exp(-1)) * (1 - exp(-1)) / (1 + 2 * exp(-1) - exp(-2)))"
+_DERIVE = "t * exp(1 - abs(t)) * ((1 - exp(-1)) ** 3 / (2 * (1 + exp(-1))))"
+_EXPONENTIAL = "0.5::DOUBLE * pow(0.5::DOUBLE, abs(t)) / 1.5::DOUBLE"
+
+
+def _line(name: str, source: str, axis: str, kernel: str) -> str:
+    """CTE: the source image (y, x, v) filtered along an axis."""
+    y, x = ("greatest(0, least((SELECT max(y) FROM px), o.y + t))", "o.x") if axis == "y" else ("o.y", "greatest(0, least(24, o.x + t))")
+    return f"{name} AS (SELECT o.y, o.x, sum(i.v * {kernel}) AS v FROM {source} o JOIN range(-60, 61) r(t) ON TRUE JOIN {source} i ON i.y = {y} AND i.x = {x} GROUP BY 1, 2)"
+
+
+def _difference(name: str, source: str, axis: str) -> str:
+    """CTE: second differences along an axis; the borders repeat."""
+    other = {"y": "x", "x": "y"}[axis]
+    window = f"OVER (PARTITION BY {other} ORDER BY {axis})"
+    return f"{name} AS (SELECT y, x, coalesce(lead(v) {window}, v) - 2 * v + coalesce(lag(v) {window}, v) AS v FROM {source})"
+
+
+def deriche(mode: str) -> str:
+    base = f"WITH {PX}, f AS (SELECT y, x, g AS v FROM px), "
+    parts = [_line("sx", "f", "x", _SMOOTH), _line("sy", "f", "y", _SMOOTH)]
+    if mode == "smooth":
+        parts, value, source = [parts[1], _line("b", "sy", "x", _SMOOTH)], "b.v", "b"
+    elif mode in ("laplacian", "sharpen"):
+        parts += [_difference("lx", "sx", "x"), _difference("ly", "sy", "y")]
+        value, source = ("lx.v + ly.v" if mode == "laplacian" else "f.v - (lx.v + ly.v)"), "f JOIN lx USING (y, x) JOIN ly USING (y, x)"
+    else:
+        parts += [_line("dx", "sy", "x", _DERIVE), _line("dy", "sx", "y", _DERIVE)]
+        value = {"modulus": "sqrt(dx.v * dx.v + dy.v * dy.v)", "direction": "CASE WHEN abs(dx.v) < 1e-20 THEN pi() / 2 ELSE atan(dy.v / dx.v) END", "dx": "abs(dx.v)", "dy": "abs(dy.v)"}[mode]
+        source = "dx JOIN dy USING (y, x)"
+    return f"{base}{', '.join(parts)} SELECT CAST(0 AS BIGINT) AS image_id, y, x, round({value}, 9) AS v FROM {source}"
+
+
+def _slope(axis: str) -> str:
+    window = f"OVER (PARTITION BY {'x' if axis == 'y' else 'y'} ORDER BY {axis})"
+    return f"(coalesce(lead(v) {window}, v) - coalesce(lag(v) {window}, v)) / CASE WHEN lead(v) {window} IS NULL OR lag(v) {window} IS NULL THEN 1 ELSE 2 END"
+
+
+SHEN_CASTAN = f"WITH {PX}, f AS (SELECT y, x, g AS v FROM px), {_line('a', 'f', 'y', _EXPONENTIAL)}, {_line('b', 'a', 'x', _EXPONENTIAL)}, g AS (SELECT y, x, {_slope('y')} AS dy, {_slope('x')} AS dx FROM b) SELECT CAST(0 AS BIGINT) AS image_id, y, x, round(sqrt(dx * dx + dy * dy), 9) AS v FROM g"
