@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by cosine: an inverted file of coarse centroids with product-quantised residuals.
 
 Vectors are scaled to unit length. A bounded sample fits the centroids and, on what is left after subtracting a vector's
-centroid, one codebook for each subspace. Every row is then listed under its centroid, with its codes. A query goes to its
-nearest lists; there, tables of distances from the query's parts to all codewords give each row's distance by look-ups, and
-the best of each chunk are ranked again by the exact cosine of the original vectors.
+centroid, one codebook for each subspace. Every row is then listed under its centroid, with its codes. A query visits its
+nearest lists; there, a table of products of the query's parts with all codewords gives the distance to each listed row by
+look-ups alone. The rows nearest by code, over all lists of a query, are ranked again by the exact cosine.
 
-A list longer than CHUNK is dealt out in chunks by hash of the row's id, so equal vectors, a third of all rows even, do
-not meet in one task.
+The index is dealt out in shards by hash, each with a part of every list, so that no list, however long, is one task; the
+queries are dealt out in chunks, and a task scans one shard for one chunk.
 """
 
 from __future__ import annotations
@@ -22,14 +22,21 @@ from pyspark.sql import functions as F
 from gridwright.session import save
 
 
-#: Rows that fit the index, drawn by hash; rounds of k-means.
-SAMPLE, ROUNDS = 16_384, 12
+#: Rows that fit the index, drawn by hash, of which a list is fitted on SAMPLE_EACH at least; rounds of k-means.
+SAMPLE, SAMPLE_EACH, ROUNDS = 32_768, 16, 12
 #: Subspaces and codewords of each.
 PARTS, WORDS = 16, 256
-#: Rows of a list that one task holds; rows that a chunk ranks exactly, for each query.
-CHUNK, RERANK = 4_096, 64
-#: Share of the lists that a query visits.
-PROBED = 0.6
+#: Rows of a shard and queries of a chunk at most; shards and chunks that even small inputs are dealt out in.
+SHARD, CHUNK, SHARDS, CHUNKS = 262_144, 32_768, 8, 4
+#: Queries that are scanned at a time.
+STEP = 64
+#: Share of the lists that a query visits, and lists at least.
+PROBED, LEAST_PROBES = 0.5, 24
+
+
+def reranked(n: int) -> int:
+    """Rows that are ranked exactly for each query, of n: errors of codes grow slowly with the number of rows."""
+    return max(20, round(4 * n ** (1 / 3)))
 
 
 @dataclass
@@ -45,6 +52,27 @@ class Codec:
         rest = x - self.centroids[lists]
         return np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)], axis=1).astype(np.uint8)
 
+    def bias(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What a row adds to its distance from any query: with centroid c and coded rest r, |q - c - r|^2 = |q|^2 + |c + r|^2 - 2 q.c - 2 q.r."""
+        whole = self.centroids[lists] + np.concatenate([book[codes[:, p]] for p, book in enumerate(self.books)], axis=1)
+        return (whole**2).sum(axis=1)
+
+    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """(queries, lists) booleans: the lists that each query visits."""
+        far = (self.centroids**2).sum(axis=1) / 2 - q @ self.centroids.T
+        out = np.ones(far.shape, bool)
+        if probes < far.shape[1]:
+            out[:] = False
+            np.put_along_axis(out, np.argpartition(far, probes - 1, axis=1)[:, :probes], True, axis=1)
+        return out
+
+    def distances(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """(rows, queries): squared distances by look-ups in the queries' tables, less the queries' own squares."""
+        out = (bias[:, None] - 2 * (self.centroids @ q.T)[lists]).astype(np.float32)
+        for p, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
+            out -= (2 * book @ q[:, a:b].T).astype(np.float32)[codes[:, p]]
+        return out
+
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c**2).sum(axis=1) / 2
@@ -101,31 +129,66 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x**2).sum(axis=1)) * np.sqrt((q**2).sum()))
 
 
-LISTED = "list int, chunk int, kind int, id long, codes binary, vector array<double>"
-HITS = "query_id long, vec_id long, score double"
+BASE = "list int, id long, q boolean, bias double, codes binary, vector array<double>"
+FOUND = "query_id long, vec_id long, far float"
+HITS = "query_id long, rank int, vec_id long, score double"
+
+
+def scanned(codec: Codec, probes: int, keep: int, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, bias: np.ndarray, names: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance by code) of the `keep` ids nearest to each query among the rows of the lists that it visits."""
+    order = np.argsort(ids, kind="stable")
+    ids, lists, codes, bias = ids[order], lists[order], codes[order], bias[order]
+    visited = codec.probed(q, probes)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    turn = np.argsort(codec.lists(q), kind="stable")  # queries of like lists go together
+    for at in range(0, len(turn), STEP):
+        some = turn[at : at + STEP]
+        rows = np.flatnonzero(visited[some].any(axis=0)[lists])
+        if not len(rows):
+            continue
+        far = codec.distances(q[some], lists[rows], codes[rows], bias[rows])
+        far[~visited[some].T[lists[rows]]] = np.inf
+        far[ids[rows][:, None] == names[some][None, :]] = np.inf
+        first = np.flatnonzero(np.r_[True, ids[rows][1:] != ids[rows][:-1]])
+        if len(first) < len(rows):  # an id counts once
+            far = np.minimum.reduceat(far, first, axis=0)
+        own, far = ids[rows][first], np.ascontiguousarray(far.T)
+        near = np.argpartition(far, keep - 1, axis=1)[:, :keep] if keep < len(own) else np.tile(np.arange(len(own)), (len(some), 1))
+        value = np.take_along_axis(far, near, axis=1)
+        there = np.isfinite(value)
+        out.append((np.repeat(names[some], there.sum(axis=1)), own[near][there], value[there]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query holds, its own row left out.
 
-    score: cosine in double precision; ties go to the smaller id. Vectors that are null, zero, hold null or non-finite
-    components or have another length than most (ties: the shorter) take no part, nor do rows without an id. Rows of
-    one id count as that id's nearest; a query id with several vectors asks by the least of them. Fewer candidates than k: all. No vectors: no rows. Other columns are not read."""
+    score: cosine in double precision; ties go to the smaller id. Vectors that are null, zero or hold null or non-finite
+    components take no part, nor do rows without an id. Vectors of another length have no cosine with each other: each length
+    has an index of its own. Rows of one id count as that id's nearest; a query id with several vectors asks by the least of
+    them. Fewer candidates than k: all. No vectors: no rows. Other columns are not read."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     vector = F.col(vector_col).cast("array<double>")
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), vector.alias("vector"))
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, n = sizes[0]
-    rows = rows.where(F.size("vector") == size)
-    drawn = rows.select(F.xxhash64("vector", "id").alias("h"), "vector").orderBy("h").limit(SAMPLE).toPandas()["vector"]
-    lists = max(1, min(1024, round(2 * n**0.5), len(drawn)))
-    codec = fit(unit(np.stack(drawn.to_numpy())), lists, seed)
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), vector.alias("vector"))
+    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).where("asked > 0").orderBy("size").collect()
+    out = spark.createDataFrame([], HITS)
+    for size, n, asked in sizes:
+        found = _search(rows.where(F.size("vector") == size), n, asked, k, probed, seed)
+        out = found if len(sizes) == 1 else out.union(found)
+    return out
+
+
+def _search(rows: DataFrame, n: int, asked: int, k: int, probed: float, seed: int) -> DataFrame:
+    """search() on vectors of one length: n rows, of which `asked` are queries."""
+    spark = rows.sparkSession
+    drawn = rows.select(F.xxhash64("vector", "id").alias("h"), "vector").orderBy("h").limit(SAMPLE).select("vector").toArrow()
+    sample = unit(matrix(drawn["vector"]))
+    codec = fit(sample, max(1, min(round(2 * n**0.5), len(sample) // SAMPLE_EACH)), seed)
     shared = spark.sparkContext.broadcast(codec)
-    lists = len(codec.centroids)
-    probes = min(lists, max(8, int(np.ceil(probed * lists))))
+    probes = max(min(LEAST_PROBES, len(codec.centroids)), round(probed * len(codec.centroids)))
+    shards, chunks = max(-(-n // SHARD), min(SHARDS, -(-n // 1024))), max(-(-asked // CHUNK), min(CHUNKS, -(-asked // 16)))
+    most = max(k, reranked(n))
+    keep = min(most, 2 * -(-most // shards) + 16)  # ids are dealt out by hash, so a shard has about 1 / shards of the nearest
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,67 +196,45 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                 x = unit(matrix(b.column(2)))
                 own = shared.value.lists(x)
                 codes = shared.value.codes(x, own)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["list", "id", "q", "codes", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), b.column(1), pa.array(shared.value.bias(own, codes)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["list", "id", "q", "bias", "codes", "vector"])
 
-    index = save(rows.mapInArrow(place, "list int, id long, q boolean, codes binary, vector array<double>"), "ivf-index")
-    many = {r.list: r.n for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each list
-    chunks = [max(1, -(-many.get(i, 0) // CHUNK)) for i in range(lists)]
-    listed = index.withColumn("chunks", F.element_at(F.array(*[F.lit(c) for c in chunks]), F.col("list") + 1))
-    listed = listed.select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "codes", "vector")
+    index = save(rows.dropDuplicates(["id", "vector"]).select("id", "q", "vector").mapInArrow(place, BASE), "ivf-index")
+    queries = save(index.where("q").groupBy("id").agg(F.min("vector").alias("vector")), "ivf-queries")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    base = index.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each(chunks).alias("chunk"), "list", "id", "bias", "codes")
+    to = queries.select(each(shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), "id", "vector")
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(matrix(b.column(1)))
-            c = shared.value.centroids
-            far = (c**2).sum(axis=1) / 2 - x @ c.T
-            to = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-            target = [(i, int(l), j) for i, ls in enumerate(to) for l in ls for j in range(chunks[l])]
-            at = pa.array([t[0] for t in target])
-            yield pa.RecordBatch.from_arrays([pa.array([t[1] for t in target], pa.int32()), pa.array([t[2] for t in target], pa.int32()), pa.array(np.ones(len(target), np.int32)), b.column(0).take(at), pa.nulls(len(target), pa.binary()), b.column(1).take(at)], ["list", "chunk", "kind", "id", "codes", "vector"])
-
-    def scan(group: pa.Table) -> pa.Table:
-        kind = group["kind"].to_numpy()
-        base, asked = group.filter(kind == 0), group.filter(kind == 1)
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    def scan(base: pa.Table, asked: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         if base.num_rows and asked.num_rows:
-            cd = shared.value
-            base = base.sort_by("id")
-            ids, x = base["id"].to_numpy(), scaled(matrix(base["vector"]))
-            codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            again = np.r_[False, (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(axis=1)]
-            ids, x, codes = ids[~again], x[~again], codes[~again]
-            names, q = asked["id"].to_numpy(), scaled(matrix(asked["vector"]))
-            rest = unit(q) - cd.centroids[group["list"][0].as_py()]
-            tables = [((book**2).sum(axis=1)[None, :] - 2 * rest[:, a:b] @ book.T) for a, b, book in zip(cd.cuts, cd.cuts[1:], cd.books)]
-            found = []
-            for i in range(len(names)):
-                far = np.zeros(len(ids))
-                for p, t in enumerate(tables):
-                    far += t[i][codes[:, p]]
-                near = np.argsort(far, kind="stable")[: RERANK + 1] if len(ids) <= 4 * RERANK else _least(far, RERANK + 1)
-                near = near[ids[near] != names[i]]
-                score = cosines(x[near], q[i])
-                best = np.lexsort((ids[near], -score))
-                _, first = np.unique(ids[near][best], return_index=True)  # an id counts once
+            codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(base.num_rows, -1)
+            found = scanned(shared.value, probes, keep, base["id"].to_numpy(), base["list"].to_numpy(), codes, base["bias"].to_numpy(), asked["id"].to_numpy(), unit(matrix(asked["vector"])))
+        return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "far"])
+
+    groups = ["shard", "chunk"]
+    near = base.groupBy(*groups).cogroup(to.groupBy(*groups)).applyInArrow(scan, FOUND)
+    by_code = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    chosen = save(near.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= most).select("query_id", "vec_id"), "ivf-chosen")
+    blocks = max(1, -(-asked // 128))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(blocks)).cast("int").alias("block")
+    candidates = chosen.join(index.select(F.col("id").alias("vec_id"), "vector"), "vec_id").select(block("query_id"), "query_id", "vec_id", "vector")
+
+    def rank(asked: pa.Table, found: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
+        if found.num_rows:
+            found = found.sort_by([("query_id", "ascending"), ("vec_id", "ascending")])
+            names, ids, x = found["query_id"].to_numpy(), found["vec_id"].to_numpy(), scaled(matrix(found["vector"]))
+            own = dict(zip(asked["id"].to_pylist(), scaled(matrix(asked["vector"]))))
+            bounds = np.r_[np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), len(names)]
+            for a, b in zip(bounds, bounds[1:]):
+                score = cosines(x[a:b], own[int(names[a])])
+                best = np.lexsort((ids[a:b], -score))
+                _, first = np.unique(ids[a:b][best], return_index=True)  # an id counts once
                 best = best[np.sort(first)[:k]]
-                found.append((np.full(len(best), names[i]), ids[near][best], score[best]))
-            out = [np.concatenate(c) for c in zip(*found)]
-        return pa.table([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
-
-    asked = index.where("q").groupBy("id").agg(F.min("vector").alias("vector")).mapInArrow(route, LISTED)
-    hits = listed.union(asked).repartition("list", "chunk").groupBy("list", "chunk").applyInArrow(scan, HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
-
-
-def _least(far: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n least values; ties go to the earlier place."""
-    limit = np.partition(far, n - 1)[n - 1]
-    below = np.flatnonzero(far < limit)
-    return np.concatenate([below, np.flatnonzero(far == limit)[: n - len(below)]])
+                out.append((names[a:b][best], np.arange(1, len(best) + 1, dtype=np.int32), ids[a:b][best], score[best]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "rank", "vec_id", "score"])
+
+    return queries.select(block("id"), "id", "vector").groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(rank, HITS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
