@@ -21,7 +21,7 @@ from gridwright.operators.distributed import components
 from gridwright.session import save
 
 from . import simhash
-from .common import mix, small_batches
+from .common import mix
 
 #: Bands of a text, and MinHash values of each.
 BANDS, EACH = 40, 6
@@ -64,8 +64,6 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(id, key of the shingle set, fp, bands) of every row. Null texts count as empty."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, fps, all_bands = [], [], []

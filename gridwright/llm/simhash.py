@@ -2,9 +2,10 @@
 
 Fingerprints are made per document. Distinct fingerprints stand for all documents that have them. Two fingerprints that
 differ in r bits at most agree in some m - r of m bands, so those bands are keys of candidate groups; within a group, bit
-planes are stored vertically (bit i of 64 fingerprints in one word), distances to many fingerprints are updated by
-carry-save bitwise counters, and a block is abandoned once all in it exceed the radius. Each group gives a star for each of
-its local components, never all pairs. Groups above GROUP are dealt out as pairs of blocks, so none falls to one task.
+planes are stored vertically (bit i of a block of 64 fingerprints in one word). A block is compared with every later one, and
+with itself above the diagonal: distances are kept by carry-save bitwise counters, and a pair of blocks is abandoned once
+all distances in it exceed the radius. Each group gives a star for each of its local components, never all pairs. Groups
+above GROUP are dealt out as pairs of parts, so none falls to one task, and each part is compared with itself in one pair.
 """
 
 from __future__ import annotations
@@ -21,13 +22,11 @@ from pyspark.sql import functions as F
 from gridwright.operators.distributed import components
 from gridwright.session import save
 
-from .common import small_batches
-
-#: Fingerprints of one group that one task compares; larger groups are split into blocks of half of it, compared by pairs.
+#: Fingerprints of one group that one task compares; larger groups are split into parts of half of it, compared by pairs.
 GROUP = 4096
-#: Words of bit planes that one comparison step touches.
-STEP = 1 << 15
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Pairs of blocks that are compared at a time; planes after which it is looked whether pairs can be abandoned.
+STEP, LOOK = 512, (16, 24, 28, 32, 36, 40, 44, 48, 52, 56, 60)
+ALL, U0, U1 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
 
 
 def simhash(data: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -48,8 +47,6 @@ def simhash(data: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id, fp long) of every row. Null texts count as empty; their fingerprint is 0."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
@@ -59,87 +56,111 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def planes(fp: np.ndarray, width: int) -> np.ndarray:
-    """(64, groups, width) words; fp: (groups, 64 * width). Slot 64 * w + j is bit j of word w."""
-    g, n = fp.shape
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(g, n, 8), axis=2, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(64, g, width)
+def planes(fp: np.ndarray) -> np.ndarray:
+    """(64, blocks) words of fp, (blocks, 64): bit j of word i is bit i of the block's fingerprint j."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(64, -1)
 
 
-def within(plane: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
-    """(groups, queries, width) words whose bits say which slots lie within the radius of each query; query: (groups, queries)."""
-    shape = (query.shape[0], query.shape[1], plane.shape[2])
+def within(plane: np.ndarray, query: np.ndarray, over: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pairs of blocks that are not abandoned, their (pairs, 64) words whose bits say which slots lie within the radius of each
+    query, planes that were read, summed over pairs). plane: (64, pairs); query: (pairs, 64); over: (pairs, 64) words of
+    what does not count, such as empty slots."""
     places = (radius + 1).bit_length()
-    counter = [np.zeros(shape, np.uint64) for _ in range(places)]
-    over = np.zeros(shape, np.uint64)
+    pairs, read = np.arange(plane.shape[1]), 0
+    counter = [np.zeros(query.shape, np.uint64) for _ in range(places)]
     limit = [i for i in range(places) if (radius + 1) >> i & 1]
     for bit in range(64):
-        asked = np.where((query >> np.uint64(bit)) & np.uint64(1), ALL, np.uint64(0))
-        carry = plane[bit][:, None, :] ^ asked[:, :, None]
+        if bit in LOOK:
+            alive = (over != ALL).any(axis=1)
+            if not alive.all():
+                pairs, over, query, plane = pairs[alive], over[alive], query[alive], plane[:, alive]
+                counter = [c[alive] for c in counter]
+            if not len(pairs):
+                break
+        read += len(pairs)
+        asked = U0 - ((query >> np.uint64(bit)) & U1)  # all ones or none
+        carry = plane[bit][:, None] ^ asked
         for c in counter:  # carry-save: each counter bit keeps the sum, the rest moves up
             carry, c[...] = carry & c, carry ^ c
         reached = counter[limit[0]].copy()
         for i in limit[1:]:
             reached &= counter[i]
-        over |= reached | carry
-        if bit >= 15 and bit % 8 == 7 and (over == ALL).all():
-            break
-    return ~over
-
-
-def links(fp: np.ndarray, node: np.ndarray, bounds: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars (smallest node, other node) of the local components of each group of rows bounds[i]:bounds[i + 1]."""
-    sizes = np.diff(bounds)
-    kinds = np.maximum(1, -(-sizes // 64))
-    for width in np.unique(kinds[sizes > 1]):
-        these = np.flatnonzero((kinds == width) & (sizes > 1))
-        slots = int(width) * 64
-        step = max(1, STEP // (slots * int(width)))
-        for at in range(0, len(these), step):
-            part = these[at : at + step]
-            f, own = np.zeros((len(part), slots), np.uint64), np.zeros((len(part), slots), np.int64)
-            there = np.arange(slots)[None, :] < sizes[part][:, None]
-            rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in part])
-            f[there], own[there] = fp[rows], node[rows]
-            valid = np.packbits(there, axis=1, bitorder="little").view("<u8")
-            plane = planes(f, int(width))
-            near = np.empty((len(part), slots, int(width)), np.uint64)
-            q = max(1, STEP // (len(part) * int(width)))
-            top = int(sizes[part].max())
-            near[:, top:] = 0
-            for s in range(0, top, q):
-                near[:, s : min(top, s + q)] = within(plane, f[:, s : min(top, s + q)], radius)
-            near &= valid[:, None, :]
-            near[~there] = 0
-            yield from _stars(near, own)
-
-
-def _stars(near: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    groups, slots, width = near.shape
-    if width == 1:  # closure of all small groups at once
-        reach = near[:, :, 0].copy()
-        for s in range(slots):
-            reach |= np.where((reach >> np.uint64(s)) & np.uint64(1), reach[:, s : s + 1], np.uint64(0))
-        member = np.unpackbits(reach.astype("<u8").view(np.uint8).reshape(groups, slots, 8), axis=2, bitorder="little").astype(bool)
-        low = np.where(member, own[:, None, :], np.iinfo(np.int64).max).min(axis=2)
-        other = member.any(axis=2) & (low != own)
-        yield low[other], own[other]
+        over = over | reached | carry
+    return pairs, ~over, read
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Labels, each the smallest of its set so far, after i and j are joined."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+#: Above the diagonal: of a block with itself, slots after each query.
+DIAGONAL = np.array([(1 << (q + 1)) - 1 for q in range(64)], np.uint64)
+
+
+def links(fp: np.ndarray, node: np.ndarray, half: np.ndarray, own: np.ndarray, bounds: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars (smallest node, other node) of the components of many groups, rows bounds[i]:bounds[i + 1] each.
+
+    Rows of a group lie in two halves, 0 before 1; rows of different halves are compared, and those of one half if `own` holds."""
+    if not len(fp):
         return
-    for g in range(groups):
-        adj, unseen = near[g], np.packbits(near[g].any(axis=1), bitorder="little").view("<u8").copy()
-        for seed in range(slots):
-            if not (unseen[seed >> 6] >> np.uint64(seed & 63)) & np.uint64(1):
-                continue
-            found, front = [], np.array([seed])
-            unseen[seed >> 6] &= ~(np.uint64(1) << np.uint64(seed & 63))
-            while len(front):
-                found.append(front)
-                row = np.bitwise_or.reduce(adj[front], axis=0) & unseen
-                unseen &= ~row
-                front = np.flatnonzero(np.unpackbits(row.astype("<u8").view(np.uint8), bitorder="little"))
-            ids = own[g][np.concatenate(found)]
-            if len(ids) > 1:
-                yield np.full(len(ids) - 1, ids.min()), np.delete(ids, ids.argmin())
+    # every half of every group in blocks of 64 of its own
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    new = np.r_[True, (group[1:] != group[:-1]) | (half[1:] != half[:-1])]
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, len(fp)])
+    blocks = -(-size // 64)
+    start = np.r_[0, np.cumsum(blocks)]  # of each half, its first block
+    slot = np.arange(len(fp)) - np.repeat(first, size) + 64 * np.repeat(start[:-1], size)
+    padded, row = np.zeros(64 * start[-1], np.uint64), np.full(64 * start[-1], -1)
+    padded[slot], row[slot] = fp, np.arange(len(fp))
+    padded, empty = padded.reshape(-1, 64), row.reshape(-1, 64) < 0
+    plane = planes(padded)
+    void = np.packbits(empty, axis=1, bitorder="little").view("<u8").ravel()
+    # blocks of a group follow each other; each is paired with itself and all later ones of its group
+    of_half = np.repeat(np.arange(len(first)), blocks)
+    of_group = group[first][of_half]
+    end = np.searchsorted(of_group, of_group, "right")
+    many = end - np.arange(len(of_group))
+    label = np.arange(len(fp))
+    for at in _cuts(many):
+        a = np.repeat(np.arange(at.start, at.stop), many[at])
+        b = a + np.arange(len(a)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+        keep = (of_half[a] != of_half[b]) | own[first][of_half[a]]
+        a, b = a[keep], b[keep]
+        for s in range(0, len(a), STEP):
+            x, y = a[s : s + STEP], b[s : s + STEP]
+            over = np.where(empty[x], ALL, void[y][:, None])
+            over |= np.where((x == y)[:, None], DIAGONAL[None, :], U0)
+            pairs, near, _ = within(plane[:, y], padded[x], over, radius)
+            k, q = np.nonzero(near)
+            if len(k):
+                hit, t = np.nonzero(np.unpackbits(near[k, q].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                merged(label, row[64 * x[pairs[k[hit]]] + q[hit]], row[64 * y[pairs[k[hit]]] + t])
+    low = np.full(len(fp), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, node)
+    root = low[label]
+    other = root != node
+    if other.any():
+        yield root[other], node[other]
+
+
+def _cuts(many: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Runs of blocks that have some `most` pairs together."""
+    total, at = np.cumsum(many), 0
+    while at < len(many):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield slice(at, stop)
+        at = stop
 
 
 def band_masks(count: int, radius: int) -> list[int]:
@@ -158,22 +179,26 @@ def candidate_stars(classes: DataFrame, radius: int) -> DataFrame:
     masks = band_masks(classes.count(), radius)
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)]))
     keyed = classes.select("fp", "node", key.alias("g"))
-    hot = save(keyed.groupBy("g").count().where(F.col("count") > GROUP).select(F.col("g"), F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")), "simhash-hot")
+    hot = save(keyed.groupBy("g").count().where(F.col("count") > GROUP).select(F.col("g"), F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("parts")), "simhash-hot")
+    keyed = keyed.select("g", "fp", "node", F.lit(0).alias("half"), F.lit(True).alias("own"))
     if hot.take(1):
-        block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))
-        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: j != block)
-        dealt = F.when(F.col("blocks").isNull(), F.array("g")).otherwise(F.transform(others, lambda j: F.xxhash64("g", F.least(j, block), F.greatest(j, block))))
-        keyed = keyed.join(hot, "g", "left").select("fp", "node", F.explode(dealt).alias("g"))
+        part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts"))
+        # each part is compared with itself where it meets the next one; the last one meets the one before it
+        next_part = F.when(part + 1 < F.col("parts"), part + 1).otherwise(part - 1)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda j: j != part)
+        meeting = lambda j: F.struct(F.xxhash64("g", F.least(j, part), F.greatest(j, part)).alias("g"), (part > j).cast("int").alias("half"), (j == next_part).alias("own"))
+        alone = F.array(F.struct(F.col("g"), F.lit(0).alias("half"), F.lit(True).alias("own")))
+        dealt = F.when(F.col("parts").isNull(), alone).otherwise(F.transform(others, meeting))
+        keyed = keyed.select("g", "fp", "node").join(hot, "g", "left").select("fp", "node", F.explode(dealt).alias("d")).select("d.g", "fp", "node", "d.half", "d.own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32), np.zeros(0, bool)]
 
         def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             g = cols[0]
             bounds = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
-            for u, v in links(cols[1].view(np.uint64), cols[2], bounds, radius):
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            for u, v in links(cols[1].view(np.uint64), cols[2], cols[3], cols[4], bounds, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
             held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
@@ -185,7 +210,7 @@ def candidate_stars(classes: DataFrame, radius: int) -> DataFrame:
         if len(held[0]):
             yield from done(held)
 
-    return keyed.select("g", "fp", "node").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").where("u < v").distinct()
+    return keyed.select("g", "fp", "node", "half", "own").repartition("g").sortWithinPartitions("g", "half").mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

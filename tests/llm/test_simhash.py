@@ -35,15 +35,46 @@ def test_fingerprint(text):
     assert S.simhash((text or "").encode()) == fingerprint(text)
 
 
+def close(n, seed=0):
+    """Random fingerprints, some of them copies with few bits flipped."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for i in range(n // 2):
+        fp[i + n // 2] = fp[i % (n // 4)] ^ np.uint64(sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 7))))
+    return fp
+
+
 def test_bit_sliced_distances():
-    rng = np.random.default_rng(0)
-    fp = rng.integers(0, 1 << 63, 190, dtype=np.uint64)
-    for i in range(150):
-        fp[i + 40] = fp[i % 40] ^ np.uint64(sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 7))))
-    padded = np.pad(fp, (0, 2)).reshape(1, -1)
+    fp = close(192).reshape(3, 64)
+    x, y = (np.array(i) for i in zip(*[(a, b) for a in range(3) for b in range(3)]))
     for radius in (0, 3, 4, 7):
-        got = np.unpackbits(S.within(S.planes(padded, 3), padded, radius).view(np.uint8), axis=2, bitorder="little")[0][:190, :190]
-        assert (got.astype(bool) == (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)).all()
+        pairs, near, _ = S.within(S.planes(fp)[:, y], fp[x], np.zeros((9, 64), np.uint64), radius)
+        got = np.zeros((9, 64, 64), bool)
+        got[pairs] = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+        assert (got == (np.bitwise_count(fp[x][:, :, None] ^ fp[y][:, None, :]) <= radius)).all()
+
+
+def test_pairs_of_blocks_are_abandoned():
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 1 << 63, (40, 64), dtype=np.uint64) * 2 + rng.integers(0, 2, (40, 64), dtype=np.uint64)
+    x, y = np.triu_indices(40)
+    over = np.where((x == y)[:, None], S.DIAGONAL[None, :], np.uint64(0))
+    pairs, near, read = S.within(S.planes(fp)[:, y], fp[x], over, 4)
+    assert not len(pairs) and read < 0.65 * 64 * len(x)  # random texts: every pair is abandoned, a block with itself too
+    fp[7, 3] = fp[20, 9] ^ np.uint64(0b1011)  # one link keeps one pair
+    pairs, near, _ = S.within(S.planes(fp)[:, y], fp[x], over, 4)
+    (kept,) = pairs.tolist()
+    assert (x[kept], y[kept]) == (7, 20) and near[0, 3] == 1 << 9 and np.count_nonzero(near) == 1
+
+
+def test_links_of_many_groups():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 63, 64, 65, 200, 1, 300]
+    fp = np.concatenate([close(4 * max(1, n // 4 + 1), i)[:n] for i, n in enumerate(sizes)])
+    node, bounds = rng.permutation(len(fp)), np.r_[0, np.cumsum(sizes)]
+    found = {int(v): int(u) for us, vs in S.links(fp, node, np.zeros(len(fp), np.int32), np.ones(len(fp), bool), bounds, 4) for u, v in zip(us, vs)}
+    for a, b in zip(bounds, bounds[1:]):
+        assert [found.get(int(n), int(n)) for n in node[a:b]] == classes(fp[a:b].tolist(), node[a:b].tolist())
 
 
 def test_bands_catch_every_pair():
