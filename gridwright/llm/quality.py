@@ -1,8 +1,8 @@
 """Compression classifier: how much better does a text compress with a dictionary of good text than with one of bad text.
 
-Two zstandard dictionaries are built from labelled texts. The difference of the two compressed sizes, over their sum, is
-turned into a probability by a logistic curve that is fitted on labelled texts which built no dictionary. How far the text
-compresses at all, and its length, correct the curve: a text of one repeated phrase is tiny with either dictionary.
+Two zstandard dictionaries are built from labelled texts. The difference of the two compressed sizes, over the root of the
+length, is the one measure of a text: the difference grows with the length, but more slowly, as a text soon refers to itself
+and not to the dictionary. A logistic curve, fitted on labelled texts which built no dictionary, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bucket_of, small_batches
+from .common import bucket_of
 
 #: Labelled texts of each class at most, drawn by hash of their id; half build the dictionary, half fit the curve.
 SAMPLE = 3000
-#: Labelled texts longer than this many bytes are not drawn, so that the sample is bounded.
-LONGEST = 100_000
+#: Bytes of a labelled text at most; longer ones are not drawn. Together these bound the sample.
+LONGEST = 32_000
 DICTIONARY = 112_640
-LEVEL = 3
+LEVEL = 15
+#: Bytes added to every length, so that few letters are weak evidence.
+PRIOR = 200
 THRESHOLD = 0.7
 
 
@@ -48,16 +50,14 @@ class Model:
 
 
 def measures(texts: list[bytes], pair: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """Of each text: (bad - good) / (bad + good) of the compressed sizes, over 0 if the good dictionary helps more; terms of the
-    compression ratio and the length; 1."""
+    """Of each text: (bad - good) / sqrt(length + PRIOR) of the compressed sizes, over 0 if the good dictionary helps more; and 1."""
     good, bad = (np.array([len(c.compress(t)) for t in texts], float) for c in pair)
     size = np.array([len(t) for t in texts], float)
-    d, ratio, length = (bad - good) / (bad + good), np.log((good + bad) / 2 / (size + 16)), np.log(size + 16) / 8
-    return np.stack([d, ratio, ratio**2, length, d * length, d * ratio, np.ones_like(d)], axis=1)
+    return np.stack([(bad - good) / np.sqrt(size + PRIOR), np.ones(len(texts))], axis=1)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """Trained content where there is enough text, else the texts themselves."""
+    """Trained content; where there is too little text to train on, the texts themselves, up to a dictionary's size."""
     try:
         return zstandard.train_dictionary(DICTIONARY, texts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -90,19 +90,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100,
     return own
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model of the labelled rows of docs. Labels that are null, not 0 or 1, or that contradict each other are left
-    out. Without labels of both classes every text has the score 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """The model of the labelled rows of docs: at most `sample` texts of each class, of `longest` bytes at most each. Labels that
+    are null, not 0 or 1, or that contradict each other are left out; repeated labels count once. Of several texts with one id
+    the one that sorts first is taken. Empty and null texts teach nothing. Without two texts of both classes every text has the
+    score 0.5."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top").select("_id", "y")
     order = F.xxhash64("_id")
     drawn = known.where("y = 1").orderBy(order, "_id").limit(sample).union(known.where("y = 0").orderBy(order, "_id").limit(sample))
     # 2 * sample rows of two numbers: the bound of this broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= LONGEST)
-    got = rows.join(F.broadcast(drawn), "_id").select("_id", "y", F.xxhash64("text").alias("h"), "text").dropDuplicates(["_id"]).toPandas().sort_values(["h", "_id"])
-    texts = {y: [t.encode() for t in got[got.y == y].text if t] for y in (0, 1)}
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text").between(1, longest))
+    got = rows.join(F.broadcast(drawn), "_id").groupBy("_id", "y").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("text")).toPandas().sort_values(["h", "_id"])
+    texts = {y: [t.encode() for t in got[got.y == y].text] for y in (0, 1)}
     if min(map(len, texts.values())) < 2:
-        return Model(b"", b"", np.zeros(7))
-    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), np.zeros(7))
+        return Model(b"", b"", np.zeros(2))
+    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), np.zeros(2))
     pair = model.compressors()
     x = [measures(texts[y][1::2], pair) for y in (0, 1)]
     # the drawn classes are of like size, the corpus's are not
@@ -113,9 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with quality_score (a column of that name is replaced). A null text counts as empty."""
+    """docs with quality_score (a column of that name is replaced), row by row, so repeated rows and ties get equal scores. A null
+    text counts as empty. No rows in, none out."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("quality_score")
     names = docs.columns
