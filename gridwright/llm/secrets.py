@@ -1,8 +1,10 @@
 """Secret scans by corpus-wide ownership frequency, with DataFrame functions only.
 
-Candidates come from three patterns. Hashes of their values are counted by distinct documents and distinct owners (the
-source of a document) over the whole corpus. A value that many owners hold is a copied example; one that few owners hold
-and that looks random is a live credential. Live values are reported as spans of a kind of their own.
+Candidates come from three patterns. Hashes of their values are counted by distinct texts and by distinct owners (the source
+of a text) over the whole corpus; copies of one text are one text of one owner, the least of theirs, so that copying a document
+neither hides a credential nor makes an owner of who copies it. A value that many owners hold, or that one owner has in many
+texts, is a copied example; one that is rare in both ways and looks random is a live credential. Live values are reported as
+spans of a kind of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(every row of docs: row, id), (every candidate: row, doc, owner, kind as index, start, end, value start, value).
+    """(every row of docs: row, id), (every candidate: row, id, owner, key of the text, kind as index, start, end, value start, value).
 
     A null text is empty. A null owner is one owner of its own. Repeated rows are scanned each."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -41,37 +43,39 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("id"),
             owner.alias("owner"),
+            F.when(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX), F.sha2(text, 256)).alias("text_key"),
             F.array(_found(text, ASSIGN, 2), _found(text, ACCESS, 0), _found(text, HEX, 0)).alias("found"),
         ),
         "secrets-scan",
     )
-    each = scanned.where("size(found[0]) + size(found[1]) + size(found[2]) > 0").select("row", "id", "owner", F.posexplode("found").alias("kind", "list")).select("row", "id", "owner", "kind", F.posexplode("list").alias("nr", "m"))
+    each = scanned.where("size(found[0]) + size(found[1]) + size(found[2]) > 0").select("row", "id", "owner", "text_key", F.posexplode("found").alias("kind", "list")).select("row", "id", "owner", "text_key", "kind", F.posexplode("list").alias("nr", "m"))
     order = Window.partitionBy("row", "kind").orderBy("nr")
     end = F.sum(F.col("m.gap") + F.col("m.size")).over(order)
-    spans = each.select("row", "id", "owner", "kind", end.alias("end"), F.col("m.size").alias("size"), F.col("m.value").alias("value")).where(F.length("value") >= LEAST_VALUE)
-    return scanned.select("row", "id"), spans.select("row", "id", "owner", "kind", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("end") - F.length("value")).alias("value_start"), "value")
+    spans = each.select("row", "id", "owner", "text_key", "kind", end.alias("end"), F.col("m.size").alias("size"), F.col("m.value").alias("value")).where(F.length("value") >= LEAST_VALUE)
+    return scanned.select("row", "id"), spans.select("row", "id", "owner", "text_key", "kind", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("end") - F.length("value")).alias("value_start"), "value")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, documents, owners) of every candidate value. Counts are made by (value, owner) first, so that a value in a third
-    of all documents is summed on the side that reads it."""
-    once = spans.select(F.sha2("value", 256).alias("hash"), "owner", "row", "value_start").dropDuplicates(["hash", "owner", "row"])
-    by_owner = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("documents"))
+    """(hash, documents, owners) of every candidate value: distinct texts that hold it, and owners of those. Counts are made by
+    (value, text), then by (value, owner), so that a value in a third of all documents is summed on the side that reads it."""
+    by_text = spans.select(F.sha2("value", 256).alias("hash"), "owner", "text_key").groupBy("hash", "text_key").agg(F.min("owner").alias("owner"))
+    by_owner = by_text.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("documents"))
     return by_owner.groupBy("hash").agg(F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 2, least_symbols: int = 6, least_length: int = 12) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 2, most_documents: int = 10, least_symbols: int = 6, least_length: int = 12) -> DataFrame:
     """One row for each row of docs: row, id, spans = array of (start, kind as index into KINDS, end), sorted, n_examples.
 
-    live: a value that at most `most_owners` owners hold, of `least_length` or more characters with `least_symbols` different
-    ones at least. Offsets count code points, ends are exclusive. Rows without a match have an empty array. No rows in,
+    live: a value that at most `most_owners` owners hold, in at most `most_documents` different texts, of `least_length` or more
+    characters with `least_symbols` different ones at least. n_examples: candidates whose value more owners or texts hold. Offsets count code points, ends are exclusive. Rows without a match have an empty array. No rows in,
     none out. Other columns of docs are not read."""
     rows, spans = candidates(docs, id_col, text_col, owner_col)
     spans = save(spans.withColumn("hash", F.sha2("value", 256)), "secrets-spans")
-    owned = save(ownership(spans).select("hash", "owners"), "secrets-owners")
+    owned = save(ownership(spans), "secrets-owners")
     symbols = F.size(F.array_distinct(F.split("value", "")))
-    live = (F.col("owners") <= most_owners) & (F.length("value") >= least_length) & (symbols >= least_symbols)
-    judged = spans.join(owned, "hash").select("row", "kind", "start", "end", "value_start", live.alias("live"), (F.col("owners") > most_owners).alias("example"))
+    example = (F.col("owners") > most_owners) | (F.col("documents") > most_documents)
+    live = ~example & (F.length("value") >= least_length) & (symbols >= least_symbols)
+    judged = spans.join(owned, "hash").select("row", "kind", "start", "end", "value_start", live.alias("live"), example.alias("example"))
     span = lambda start, kind, end: F.struct(F.col(start).alias("start"), kind.alias("kind"), F.col(end).alias("end"))
     both = F.array_compact(F.array(span("start", F.col("kind"), "end"), F.when(F.col("live"), span("value_start", F.lit(3), "end"))))
     by_row = judged.select("row", F.explode(both).alias("span"), F.col("example").cast("int").alias("example")).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.sum(F.when(F.col("span.kind") < 3, F.col("example"))).alias("n_examples"))
@@ -126,14 +130,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql_found(kind: int, pattern: str, group: int) -> str:
     p = pattern.replace("'", "''").replace("(?i:password|passwd|secret|token|api_?key)", "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]")
-    return f"""SELECT doc_id, source, {kind} AS kind, CAST(list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS s, length(m[i]) AS size, v[i] AS value
-FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '{p}', 0) AS m, regexp_extract_all(coalesce(text, ''), '{p}', {group}) AS v, string_split_regex(coalesce(text, ''), '{p}') AS gap FROM documents))"""
+    return f"""SELECT doc_id, source, txt, {kind} AS kind, CAST(list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS s, length(m[i]) AS size, v[i] AS value
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, coalesce(source, '') AS source, sha256(coalesce(text, '')) AS txt, regexp_extract_all(coalesce(text, ''), '{p}', 0) AS m, regexp_extract_all(coalesce(text, ''), '{p}', {group}) AS v, string_split_regex(coalesce(text, ''), '{p}') AS gap FROM documents))"""
 
 
 ORACLE = f"""WITH raw AS ({" UNION ALL ".join(_sql_found(*x) for x in ((0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0)))}),
-spans AS (SELECT doc_id, source, kind, s, s + size AS e, s + size - length(value) AS vs, value FROM raw WHERE length(value) >= {LEAST_VALUE}),
-owned AS (SELECT value, count(DISTINCT source) AS owners FROM spans GROUP BY value),
-judged AS (SELECT spans.*, owners > 2 AS example, owners <= 2 AND length(spans.value) >= 12 AND len(list_distinct(string_split(spans.value, ''))) >= 6 AS live FROM spans JOIN owned USING (value)),
+spans AS (SELECT doc_id, source, txt, kind, s, s + size AS e, s + size - length(value) AS vs, value FROM raw WHERE length(value) >= {LEAST_VALUE}),
+owned AS (SELECT value, count(DISTINCT source) AS owners, count(*) AS texts FROM (SELECT value, txt, min(source) AS source FROM spans GROUP BY value, txt) GROUP BY value),
+judged AS (SELECT spans.*, owners > 2 OR texts > 10 AS example, owners <= 2 AND texts <= 10 AND length(spans.value) >= 12 AND len(list_distinct(string_split(spans.value, ''))) >= 6 AS live FROM spans JOIN owned USING (value)),
 every AS (SELECT doc_id, kind, s, e FROM judged UNION SELECT doc_id, 3, vs, e FROM judged WHERE live),
 named AS (SELECT doc_id, kind, s, e, concat_ws(':', ['assign', 'access', 'hex', 'live'][kind + 1], s, e) AS t FROM every),
 listed AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
