@@ -20,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 
-#: Distinct words, and space-free runs of text, in a generation of what a worker remembers.
-REMEMBERED = 250_000
+#: Bytes that a generation of what a worker remembers takes, of words and of runs of text between spaces each.
+REMEMBERED = 48_000_000
+#: Longer runs and words are encoded whenever they occur.
+LONG = 128
 NEVER = 1 << 62
 #: Text on which normalising is lower-casing alone, and on which Python and the library agree about letters.
 PLAIN = re.compile("[!-~\nÀ-ÖØ-öø-ÿ]*")
@@ -175,13 +177,20 @@ class Encoder:
 
 
 class Known(dict):
-    """Encodings by string, in two generations: what is asked for again outlives the older one."""
+    """Encodings by string, in two generations: what is asked for again outlives the older one. A generation is bounded in
+    bytes: `held` counts what its strings and encodings take, with their objects."""
 
-    older: dict = {}
+    def __init__(self) -> None:
+        self.older: dict = {}
+        self.held = 0
+
+    def keep(self, key: str, ids: bytes) -> None:
+        self[key] = ids
+        self.held += 220 + len(key) * (1 if key.isascii() else 4) + len(ids)
 
     def age(self, most: int) -> None:
-        if len(self) > most:
-            self.older = dict(self)
+        if self.held > most:
+            self.older, self.held = dict(self), 0
             self.clear()
 
     def lacking(self, wanted: set[str]) -> set[str]:
@@ -189,16 +198,17 @@ class Known(dict):
         wanted = wanted - self.keys()
         again = wanted & self.older.keys()
         for x in again:
-            self[x] = self.older[x]
+            self.keep(x, self.older[x])
         return wanted - again
 
 
 class Memory:
-    """Encodings that a worker has made so far: of words, and of runs of text between spaces."""
+    """Encodings that a worker has made so far: of words, and of runs of text between spaces. Long ones are not kept."""
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path)
         self.word, self.run, self.most = Known(), Known(), REMEMBERED
+        self.brief: dict[str, bytes] = {}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The texts cut at spaces, after every distinct run in them is known."""
@@ -206,12 +216,26 @@ class Memory:
         self.word.age(self.most)
         self.run.age(self.most)
         fresh = {r: self.encoder.pieces(r) for r in self.run.lacking(set().union(*cut))}
+        once: dict[str, bytes] = {}
         for w, ids in self.encoder.encode_words(self.word.lacking({w for ws in fresh.values() for w in ws if isinstance(w, str)})):
-            self.word[w] = array("I", ids).tobytes()
+            data = array("I", ids).tobytes()
+            if len(w) > LONG:
+                once[w] = data
+            else:
+                self.word.keep(w, data)
+        self.brief = {}
         for r, ws in fresh.items():
-            self.run[r] = b"".join([self.word[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in ws])
+            data = b"".join([array("I", [w]).tobytes() if not isinstance(w, str) else once[w] if w in once else self.word[w] for w in ws])
+            if len(r) > LONG:
+                self.brief[r] = data
+            else:
+                self.run.keep(r, data)
         return cut
 
+    def ids(self, cut: list[str]) -> bytes:
+        """Ids of a text that learn() has just cut."""
+        return b"".join([self.brief[r] if len(r) > LONG else self.run[r] for r in cut])
+
 
 _memory: dict[str, Memory] = {}
 
@@ -228,8 +252,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     The file must drop white space between words, so that no token crosses a space. A null or empty text has no ids and
     decodes to an empty text. Added tokens in a text are matched as the library does. Rows and ids may repeat or be null.
-    Other columns of docs are not read. remembered: entries in a generation of a worker's memory, REMEMBERED if not given."""
-    small_batches(docs.sparkSession)
+    Other columns of docs are not read. remembered: bytes of a generation of a worker's memory, REMEMBERED if not given; there are
+    two generations of words and two of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = memory(path)
@@ -237,7 +261,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for piece in slices(b, "text"):
                 cuts = own.learn([t or "" for t in piece.column("text").to_pylist()])
-                ids = [b"".join(map(own.run.__getitem__, cut)) for cut in cuts]
+                ids = [own.ids(cut) for cut in cuts]
                 decoded = [own.encoder.decode(array("I", x)) for x in ids]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from gridwright.session import save, scratch
 
 from .bpe import byte_symbols
-from .common import slices, small_batches
+from .common import slices
 
 MAGIC = b"GWPF0001"
 BLOCK = 1024
 PERCENTILE = 0.95
-#: Distinct runs of text, and words, in a generation of what a worker remembers.
-REMEMBERED = 400_000
+#: Bytes that a generation of what a worker remembers takes, of words, first and later runs of text each.
+REMEMBERED = 64_000_000
+#: Longer runs are encoded whenever they occur.
+LONG = 128
 HEAD, TAIL = struct.Struct("<IBH"), struct.Struct("<QQQ8s")
 #: A space between two characters that no notion of white space covers: byte-level words never cross it.
 BORDER = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]) (?=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])")
@@ -166,19 +168,23 @@ WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|
 
 
 class Runs(dict):
-    """Ids of runs of text, made when first asked for. Two generations: what is asked for again outlives the older one."""
+    """Ids of runs of text, made when first asked for. Two generations, bounded in bytes: what is asked for again outlives the
+    older one. Long runs are not kept."""
 
     def __init__(self, make) -> None:
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if len(run) > LONG:
+            return self.make(run)
+        if self.held > REMEMBERED:
+            self.older, self.held = dict(self), 0
             self.clear()
         out = self.older.get(run)
         if out is None:
             out = self.make(run)
         self[run] = out
+        self.held += 220 + len(run) * (1 if run.isascii() else 4) + len(out)
         return out
 
 
@@ -239,10 +245,9 @@ def write_ids(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col:
     """Files of ids under `target`, one for each range of doc_ids, and their manifest (file, part, n_ids, n_docs, base).
 
     Each document's ids are followed by end_id. Order: doc_id, null first; equal ids by their text's hash. A null text is
-    empty. No documents: no files. A file appears under its name when it is whole, so a task may run twice. Other columns
+    empty. No documents: no files. All rows of one doc_id are in one file, as are those without one. A file appears under its name when it is whole, so a task may run twice. Other columns
     are not read."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), None
@@ -266,7 +271,7 @@ def write_ids(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     manifest = save(ordered.mapInArrow(run, MANIFEST), "ids-manifest")
-    # a row for each file: little enough for one task
+    # one window over a row for each file, so over some 10,000 rows for each TB: little enough for one task
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
