@@ -4,10 +4,13 @@ A level is a number of words; windows repeated at one level alone are candidates
 and keeps, of all windows that one of WINDOW words holds, only the least hash (so a repeated long window always leaves a
 repeated seed); the second is WINDOW words, about twice as many; then each level doubles, until no candidate survives.
 
-Documents lie in units, ranges of their ids of about UNIT_BYTES, in a table bucketed by unit, so that passes over it need no
+Documents lie in units, ranges of their ids of about as many bytes, in a table bucketed by unit, so that passes over it need no
 exchange. At each level a unit sends its distinct hashes, sorted, as differences, to the parts of the hash space; a part
 answers one bit for "another unit has it" and one for "a unit of smaller ids has it". So a passage that is in a third
 of all documents is sent once by each unit, and what goes back is two bits a hash.
+
+There is a row for each unit and part. Units and parts both grow with the root of the input, so these rows grow in proportion
+to it, until a unit reaches what a worker can hold (MOST_UNIT, at some 128 GB of text).
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.session import save
+from gridwright.session import save, scratch
 
-from .common import NOT_SPACE, U64, Words, discard, mix, small_batches, strings, window_hashes
+from .common import NOT_SPACE, U64, Words, discard, mix, strings, window_hashes
 
 WINDOW = 13
 SEED = (WINDOW + 1) // 2
-UNIT_BYTES = 4_000_000
-PART_BYTES = 8_000_000
+#: Bytes of text in a unit, and of the text whose hashes go to one part, at an input of GIVEN bytes; both grow with its root.
+UNIT_BYTES, PART_BYTES, GIVEN = 4_000_000, 8_000_000, 500_000_000
+MOST_UNIT = 64_000_000
+#: Ids that are drawn for each unit to place its bounds.
+DRAWN = 200
 LAST = np.iinfo(np.int64).max
 SENT = "unit int, level int, part int, n int, data binary"
 STATE = "unit int, words int, ids binary, doc binary, at binary, hash binary"
@@ -151,16 +157,31 @@ class Unit:
         return shared, earlier | (self.ids[self.words.doc[self.at]] > self.windows.low[self.windows.index])
 
 
+def shares(size: int) -> tuple[int, int]:
+    """(units, parts) for so many bytes of text."""
+    scale = max(1.0, (size / GIVEN) ** 0.5)
+    unit = min(MOST_UNIT, UNIT_BYTES * scale) if UNIT_BYTES < MOST_UNIT else UNIT_BYTES
+    units = max(1, -(-size // int(unit)), min(24, size // 500_000))
+    parts = 1
+    while parts * PART_BYTES * scale < size:
+        parts *= 2
+    return units, parts
+
+
 def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """docs as (unit, id, text), in a table bucketed by unit; parts of the hash space."""
+    """docs as (unit, id, text), in files bucketed by unit; parts of the hash space.
+
+    Units are cut at ids drawn with a chance in proportion to the bytes of their rows, so long texts do not fill one."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units = max(1, -(-size // UNIT_BYTES), min(24, size // 500_000))
+    units, parts = shares(size)
     bounds: list[int] = []
     if units > 1:
-        found = rows.agg(F.percentile_approx("id", [i / units for i in range(1, units)], max(10_000, 20 * units))).first()[0]
-        bounds = sorted(set(found or []))
+        chance = F.octet_length("text") * (DRAWN * units / size)
+        drawn = np.sort(rows.where(F.col("id").isNotNull() & (F.rand(42) < chance)).select("id").toArrow()["id"].to_numpy())
+        if len(drawn):
+            bounds = sorted(set(drawn[np.arange(1, units) * len(drawn) // units].tolist()))
     # two short searches instead of one through all bounds
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
@@ -173,17 +194,16 @@ def placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     unit = F.when(F.col("id").isNull(), len(bounds)).otherwise(number).cast("int")
     name = f"gridwright_substrings_{uuid.uuid4().hex}"
     buckets = max(1, -(-units // 4))
-    rows.select(unit.alias("unit"), "id", "text").repartition(units, "unit").write.bucketBy(buckets, "unit").sortBy("unit").format("parquet").saveAsTable(name)
-    parts = 1
-    while parts * PART_BYTES < size:
-        parts *= 2
-    return spark.table(name), parts
+    writer = rows.select(unit.alias("unit"), "id", "text").repartition(units, "unit").write.bucketBy(buckets, "unit").sortBy("unit").format("parquet")
+    writer.option("path", scratch(spark, "substrings-units")).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # the plan now knows files and buckets, so the catalog need not
+    spark.sql(f"DROP TABLE {name}")
+    return table, parts
 
 
 def deeper(state: DataFrame, parts: int, level: int) -> tuple[DataFrame, DataFrame | None]:
     """From windows repeated at `level` words to those at twice that: (rows of documents that have any, new state)."""
-    spark = state.sparkSession
-
     def hashes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hashes]:
         ids, doc, at, h = (np.frombuffer(row[k], t) for k, t in (("ids", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("hash", "<u8")))
         key = doc.astype(np.uint64) << U64(32) | at
@@ -209,7 +229,6 @@ def deeper(state: DataFrame, parts: int, level: int) -> tuple[DataFrame, DataFra
                 rows.append((row["unit"], 2 * level, row["ids"], doc[repeated].tobytes(), at[repeated].tobytes(), h[repeated].tobytes()))
         return table(STATE, list(zip(*rows)) if rows else [[]] * 6)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     answers = save(answered(state.mapInArrow(send, SENT)), "substrings-answers")
     new = save(state.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(receive, STATE), "substrings-state")
     discard(answers)
@@ -233,10 +252,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Removed is each word inside a window of 13 words that also starts in a document with a smaller id; kept is what is left,
     joined by spaces. longest: words of the longest level at which a window of the document is repeated elsewhere, 0 if none.
-    A null text has no words. Rows without an id come after all others; equal ids are one document. No rows in, none out.
-    Other columns of docs are not read."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    A null text has no words. Rows without an id come after all others; equal ids are one document and one task's work, as are
+    all rows without an id. Windows with equal 64-bit hashes are taken for equal: of n different windows that repeat, about
+    n^2 / 2^65 pairs are so by chance. No rows in, none out. Other columns of docs are not read."""
     units, parts = placed(docs, id_col, text_col)
 
     def seeds(rows: pa.Table) -> pa.Table:
@@ -297,13 +315,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     state: DataFrame | None = save(by_unit.cogroup(told.groupBy("unit")).applyInArrow(first_state, STATE), "substrings-state")
     level, found = WINDOW, told
     while state is not None and state.take(1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
         found = found.union(save(longest(state), "substrings-longest"))
         old = state
         _, state = deeper(old, parts, level)
         discard(old)
         level *= 2
-    small_batches(spark)
     return by_unit.cogroup(found.groupBy("unit")).applyInArrow(final, RESULT)
 
 
@@ -313,13 +329,16 @@ RESULT = "doc_id long, n_words long, n_removed long, longest long, kept string"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: removed words of every document, and a digest of what is kept."""
     out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", "longest", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS t FROM d WHERE len(w) >= 13),
 first AS (SELECT t, min(doc_id) AS low FROM win GROUP BY t),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN first USING (t) WHERE low < doc_id),
 words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM d),
+levels(doc_id, size, p, t) AS (SELECT win.doc_id, 13, p, t FROM win JOIN (SELECT t FROM win GROUP BY t HAVING count(DISTINCT doc_id) > 1) USING (t)
+ UNION ALL SELECT doc_id, 2 * size, p, t FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) <> max(doc_id) OVER (PARTITION BY t) AS again FROM (SELECT a.doc_id, a.size, a.p, a.t || ' ' || b.t AS t FROM levels a JOIN levels b ON a.doc_id = b.doc_id AND b.p = a.p + a.size)) WHERE again),
+deepest AS (SELECT doc_id, max(size) AS longest FROM levels GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest, 0) AS BIGINT) AS longest, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN deepest USING (doc_id)"""
