@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at most, unless a single text is longer.
@@ -23,11 +23,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold few rows, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def bucket_of(col: Column | str) -> Column:
     """CRC-32 of the id as text, modulo 4. The rows with 2 are held out."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % 4
@@ -113,6 +108,11 @@ class Words:
         self.doc = np.repeat(np.arange(len(column)), np.diff(self.first))
         self.hash = self._hashes(_BYTE if fold is None else _BYTE[fold])
 
+    def second(self, fold: np.ndarray | None = None) -> np.ndarray:
+        """64 more bits for each word, independent of `hash`: together they tell words apart at any size of corpus."""
+        value = mix(_BYTE ^ U64(0x5851F42D4C957F2D))
+        return mix(self._hashes(value if fold is None else value[fold]) ^ U64(0x2545F4914F6CDD1D))
+
     def _hashes(self, value: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
         at = 0

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridwright.session import save
 
-from .common import bucket_of, raw, slices, small_batches, strings
+from .common import bucket_of, raw, slices, strings
 
 #: Bytes of an n-gram; slots are 2**SLOT_BITS; hash multipliers, one for each probe.
 GRAM = 4
@@ -113,7 +113,6 @@ class Filter:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filter:
     """The filter of docs' languages; rows with a null language or text are left out. The caller leaves out what is held back."""
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(many, key=lambda k: (-many[k], k))
@@ -151,7 +150,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", least_known: float = 0.0) -> DataFrame:
     """docs with lang_pred and lang_score (columns of these names are replaced). Any row may be null, empty or repeated."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "lang_score")
     names = docs.columns
