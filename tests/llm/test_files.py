@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -33,22 +34,41 @@ def test_trie_encodes_as_the_library():
     for text in strange(1500, 0):
         (cut,) = own.learn([text])
         ids = library.encode(text, add_special_tokens=False).ids
-        assert b"".join(own.run[r] for r in cut) == np.array(ids, "<u4").tobytes(), text[:60]
+        assert own.ids(cut) == np.array(ids, "<u4").tobytes(), text[:60]
         assert library.decode(ids, skip_special_tokens=False) == own.encoder.decode(ids)
 
 
 def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
-    monkeypatch.setattr(tokenids, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5000)
+    monkeypatch.setattr(tokenids, "REMEMBERED", 5000)
     texts = strange(100, 3)
     words, ids = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
     own, other = bpe.Memory(WORDS), tokenids.Tokens(BYTES)
     for t in texts:
         (cut,) = own.learn([t])
-        assert b"".join(own.run[r] for r in cut) == np.array(words.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.ids(cut) == np.array(words.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         assert other.encode([t])[0].tolist() == ids.encode(t, add_special_tokens=False).ids
 
 
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    """Texts without spaces, and very many different words: a generation holds what it may, and a batch more at most."""
+    most = 400_000
+    monkeypatch.setattr(bpe, "REMEMBERED", most)
+    monkeypatch.setattr(tokenids, "REMEMBERED", most)
+    rnd = random.Random(5)
+    own, other = bpe.Memory(WORDS), tokenids.Tokens(BYTES)
+    size = lambda known: sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in known.items())
+    for n in range(60):
+        long = "".join(rnd.choice("abcdefgh") for _ in range(4000))
+        many = " ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(200))
+        for text in (long, many):
+            own.learn([text])
+            other.encode([text])
+        for known in (own.word, own.run, other.word, other.first, other.later):
+            assert size(known) < 1.5 * most and size(known.older) < 1.5 * most
+            assert all(len(k) <= bpe.LONG for k in known)
+
+
 def test_encode_rows(spark):
     library = Tokenizer.from_file(WORDS)
     for r in bpe.encode(odd_documents(spark), WORDS).collect():
@@ -117,7 +137,7 @@ def test_ids_of_odd_rows(spark, tmp_path):
 
 
 def test_archives(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
     long = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 1200
     pages = [(1, "http://a/ b\r\nX: y", long), (4, None, long), (9, "u", long), (2, "u", "short"), (3, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", long), (None, "u", "only" * 400), (9, "u", long), (7, "u", "z" * 3_000_000)]
     df = spark.createDataFrame([(*p, 1, "d") for p in pages], "page_id long, url string, html string, bytes int, digest string")
@@ -130,7 +150,9 @@ def test_archives(spark, tmp_path, monkeypatch):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
     assert got == sorted(want, key=str)
     fs, base = pa.fs.FileSystem.from_uri(target)
-    for name in {r.file for r in index.collect()}:
+    names = {r.file for r in index.collect()}
+    assert len(names) > 2 and {f.base_name for f in fs.get_file_info(pa.fs.FileSelector(base))} == names | {n + warc.SIDECAR for n in names}
+    for name in names:
         whole = fs.open_input_file(f"{base}/{name}").read()
         rows = sorted((r.offset, r.length) for r in index.where(index.file == name).collect())
         assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:] + [(len(whole), 0)]))
@@ -144,10 +166,11 @@ def test_inflating():
     rng = np.random.default_rng(0)
     parts = [b"", b"a", bytes(5_000_000), rng.bytes(700_000)]
     data = b"".join(gzip.compress(p) for p in parts)
-    assert b"".join(warc.inflate(data)) == b"".join(parts)
-    assert max(len(p) for p in warc.inflate(data)) <= warc.PIECE
+    chunks = lambda data: (data[i : i + 70_000] for i in range(0, len(data), 70_000))
+    assert b"".join(warc.inflate(chunks(data))) == b"".join(parts)
+    assert max(len(p) for p in warc.inflate(chunks(data))) <= warc.PIECE
     with pytest.raises(ValueError):
-        list(warc.inflate(data[:-9]))
+        list(warc.inflate(chunks(data[:-9])))
     with pytest.raises(ValueError):
         list(warc.split_records(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
 

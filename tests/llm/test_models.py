@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import odd_documents
+import zstandard
+from helpers import documents, odd_documents
 from pyspark.sql import functions as F
 
 from gridwright.llm import common, langid, neighbours, quality
@@ -29,6 +30,24 @@ def test_filter_returns_all_languages_of_a_gram():
     assert model.predict(pa.array(["efgh", None, "123", "żź"]))[0] == ["l2", "und", "und", "l1"]
 
 
+def test_languages_by_exact_sets(spark):
+    """The filter beside the sets themselves: for every document of the table the same corrected counts, but for a hair, and the same language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    texts = common.strings(pa.array(docs.text))
+    value, doc, _, _ = langid.grams(texts)
+    names = sorted(set(docs.lang.dropna()))
+    sets = {k: set(value[np.isin(doc, np.flatnonzero(((docs.lang == k) & (docs.doc_id % 3 > 0)).to_numpy()))].tolist()) for k in names}
+    every = np.array(sorted(set().union(*sets.values())), np.uint32)
+    model = langid.Filter(names, every, np.stack([np.isin(every, np.array(sorted(sets[k]), np.uint32)) for k in names], axis=1))
+    counts, total, _ = model.counts(texts)
+    want = np.array([[sum(int(g) in sets[k] for g in value[doc == i].tolist()) for k in names] for i in range(len(docs))])
+    assert (np.abs(counts - want) <= 0.01 * total[:, None] + 3).all()
+    clear = np.sort(want, axis=1)[:, -1] - np.sort(want, axis=1)[:, -2] > 0.02 * total + 6
+    assert clear.mean() > 0.8
+    lang, score = model.predict(pa.array(docs.text))
+    assert [lang[i] for i in np.flatnonzero(clear)] == [names[want[i].argmax()] for i in np.flatnonzero(clear)]
+
+
 def test_many_languages():
     rng = np.random.default_rng(0)
     names = [f"l{i}" for i in range(70)]
@@ -56,6 +75,37 @@ def test_quality_of_held_out_documents(spark):
     assert got.score[good].mean() > got.score[~good].mean() + 0.4
 
 
+def auc(score, good):
+    """Share of pairs of a good and a bad text that are in the right order."""
+    a, b = score[good], score[~good]
+    return np.mean((a[:, None] > b[None, :]) + 0.5 * (a[:, None] == b[None, :]))
+
+
+def test_measure_is_the_difference_of_compressed_sizes(spark):
+    """Each size by itself, without what compressors share; and the difference alone ranks held-out texts."""
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs.where(common.bucket_of("doc_id") != 2), labels.where(common.bucket_of("doc_id") != 2))
+    rows = docs.join(labels, "doc_id").where(common.bucket_of("doc_id") == 2).toPandas()
+    texts = [(t or "").encode() for t in rows.text]
+    x = quality.measures(texts, model.compressors())
+    size = lambda t, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    for t, (d, one) in list(zip(texts, x))[:40]:
+        assert one == 1 and abs(d - (size(t, model.bad) - size(t, model.good)) / (len(t) + quality.PRIOR) ** 0.5) < 1e-12
+    assert x.shape[1] == 2 and auc(x[:, 0], (rows.quality == 1).to_numpy()) > 0.95
+    assert (np.argsort(model.score(x), kind="stable") == np.argsort(x[:, 0], kind="stable")).all()
+
+
+def test_quality_of_repeated_rows(spark):
+    """Repeated ids teach by the text that sorts first, whatever the order of rows; equal texts have equal scores."""
+    good, bad = [f"a fine sentence number {i} of plain words" for i in range(20)], [f"buy buy {i} click click {i} now now" for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(3, "zzz zzz"), (25, None), (25, "")]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 2, "doc_id long, quality int")
+    one, other = (quality.fit(documents(spark, r), labels) for r in (rows, rows[::-1]))
+    assert one.good == other.good and one.bad == other.bad and (one.weights == other.weights).all()
+    got = quality.scored(documents(spark, rows + rows), one).collect()
+    assert len({(r.text or "", r.quality_score) for r in got}) == len({t or "" for _, t in rows})
+
+
 def test_quality_without_labels(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1)], "doc_id long, quality int")

@@ -1,10 +1,14 @@
 """Secrets, contamination, substrings: SQL on the driver's tables, brute force and odd rows on small ones."""
 
+import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from helpers import ODD, SF, documents, odd_documents
+from pyspark.sql import functions as F
 
 from gridwright.llm import common, decontaminate, secrets, substrings
 from gridwright.llm.queries import ORACLE_SQL, QUERIES
@@ -51,6 +55,19 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_both_counts_decide(spark):
+    copied, wide, rare = "token=c0pYq8Zr4Lm2Xv7K", "token=w1De9sT5uV6xY3zA", "token=r4Re7bN2mK8jH5gF"
+    rows = [(i, f"the same words {copied}") for i in range(9)]  # three owners, but one text
+    rows += [(100 + 3 * i, f"text {i} of one owner {wide}") for i in range(11)]  # one owner, eleven texts
+    rows += [(200 + 3 * i, f"text {i} of one owner {rare}") for i in range(10)]
+    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") < 100, F.col("source")).otherwise("one"))
+    counts = {r.hash: (r.documents, r.owners) for r in secrets.ownership(secrets.candidates(docs)[1]).collect()}
+    key = lambda t: hashlib.sha256(t.split("=")[1].encode()).hexdigest()
+    assert (counts[key(copied)], counts[key(wide)], counts[key(rare)]) == ((1, 1), (11, 1), (10, 1))
+    live = {r.id: any(s.kind == 3 for s in r.spans) for r in secrets.scan(docs).collect()}
+    assert live == {i: not 100 <= i < 200 for i, _ in rows}
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -83,11 +100,26 @@ def test_contamination(spark, monkeypatch, block):
         n, hit, found = contaminated((texts + ODD)[r.doc_id], items)
         assert (r.n_words, r.n_hit, sorted(r.items)) == (n, hit, found)
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
+    spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in decontaminate.contamination(docs, bench).collect()}
+    assert spans[0] == [(0, 40)] and spans[8] == [(0, 2)] and spans[9] == [(400, 401)]
     empty = decontaminate.contamination(odd_documents(spark), bench.limit(0)).collect()
     assert len(empty) == len(ODD) + 4 and not any(r.n_hit for r in empty)
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_equal_first_hashes_are_told_apart():
+    """Where all windows have the same first 64 bits, the other 64 decide."""
+    items = pa.array([" ".join(f"w{k}" for k in range(40)), "a b"])
+    words = common.Words(common.strings(items), decontaminate.MEMBER, decontaminate.FOLD)
+    second = words.second(decontaminate.FOLD)
+    assert len(set(second.tolist())) == 42 and not set(second.tolist()) & set(words.hash.tolist())
+    index = decontaminate.Index(["1", "2"], items.to_pylist())
+    low, high, first, item = index.windows[13]
+    index.windows[13] = (np.full(len(low), 7, np.uint64), high, first, item)
+    assert index.window(13, np.full(3, 7, np.uint64), np.array([high[5], 1, high[27]], np.uint64)).tolist() == [5, -1, 27]
+    assert index.window(13, np.full(1, 8, np.uint64), high[:1]).tolist() == [-1]
+
+
 def deduplicated(rows):
     """(n_words, n_removed, longest, kept) of each (id, text), by the definition."""
     order = [(float("inf") if i is None else i, re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
@@ -125,9 +157,6 @@ def test_substrings(spark, monkeypatch, unit):
 
 
 def test_words_and_hashes():
-    import numpy as np
-    import pyarrow as pa
-
     texts = [t or "" for t in ODD]
     w = common.Words(common.strings(pa.array(texts)), common.NOT_SPACE)
     flat = [x for t in texts for x in t.encode().split()]
