@@ -17,10 +17,14 @@ from gridwright.llm import bpe, common, decontaminate, langid, nearcopies, secre
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, those without a letter, and those of which no learned language knows a
-    quarter of the n-grams (documents of sf0.1 have 0.53 at least). The filter is learned from the documents whose id is not
-    in the held-out bucket."""
+    quarter of the n-grams (documents of sf0.1 have 0.53 at least). A document whose lang is null gets the one that is found.
+    The filter is learned from the documents whose id is not in the held-out bucket; where none of those has a language, nothing
+    is known against any text with a letter, and all of them stay as they are."""
     model = langid.fit(docs.where(common.bucket_of("doc_id") != 2))
-    return langid.identify(docs, model, least_known=0.25).where("lang_pred <> 'und'").select(docs.columns)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model, least_known=0.25).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=60_000)
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=12_000_000)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
