@@ -23,9 +23,12 @@ def local(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder will do if
+    driver and executors are one process; on a cluster they would not see each other's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/gridwright-scratch"
     return f"{base.rstrip('/')}/gridwright/{name}-{uuid.uuid4().hex}"
 
