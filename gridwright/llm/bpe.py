@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Bytes that a generation of what a worker remembers takes, of words and of runs of text between spaces each.
-REMEMBERED = 48_000_000
+REMEMBERED = 72_000_000
 #: Longer runs and words are encoded whenever they occur.
 LONG = 128
 NEVER = 1 << 62
@@ -158,9 +159,12 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """Byte-level words of a text without added tokens."""
-        if self.pattern is not None and PLAIN.fullmatch(text):
-            found = self.pattern.findall(text.lower())
-            return found if text.isascii() else ["".join([self.symbol[b] for b in w.encode()]) for w in found]
+        if self.pattern is not None:
+            if text.isascii() and text.isalpha():  # letters are one word, whatever else the pattern tells apart
+                return [text.lower()]
+            if PLAIN.fullmatch(text):
+                found = self.pattern.findall(text.lower())
+                return found if text.isascii() else ["".join([self.symbol[b] for b in w.encode()]) for w in found]
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
@@ -184,9 +188,9 @@ class Known(dict):
         self.older: dict = {}
         self.held = 0
 
-    def keep(self, key: str, ids: bytes) -> None:
-        self[key] = ids
-        self.held += 220 + len(key) * (1 if key.isascii() else 4) + len(ids)
+    def keep(self, fresh: dict[str, bytes]) -> None:
+        self.update(fresh)
+        self.held += 220 * len(fresh) + 2 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
 
     def age(self, most: int) -> None:
         if self.held > most:
@@ -197,8 +201,8 @@ class Known(dict):
         """Those of the wanted strings that neither generation has; the rest is in the younger one after this."""
         wanted = wanted - self.keys()
         again = wanted & self.older.keys()
-        for x in again:
-            self.keep(x, self.older[x])
+        if again:
+            self.keep({x: self.older[x] for x in again})
         return wanted - again
 
 
@@ -215,26 +219,24 @@ class Memory:
         cut = [t.split(" ") for t in texts]
         self.word.age(self.most)
         self.run.age(self.most)
-        fresh = {r: self.encoder.pieces(r) for r in self.run.lacking(set().union(*cut))}
-        once: dict[str, bytes] = {}
-        for w, ids in self.encoder.encode_words(self.word.lacking({w for ws in fresh.values() for w in ws if isinstance(w, str)})):
-            data = array("I", ids).tobytes()
-            if len(w) > LONG:
-                once[w] = data
-            else:
-                self.word.keep(w, data)
-        self.brief = {}
-        for r, ws in fresh.items():
-            data = b"".join([array("I", [w]).tobytes() if not isinstance(w, str) else once[w] if w in once else self.word[w] for w in ws])
-            if len(r) > LONG:
-                self.brief[r] = data
-            else:
-                self.run.keep(r, data)
+        # a text without added tokens has none in its runs
+        pieces = self.encoder.pieces if any(a in t for a in self.encoder.added for t in texts) else self.encoder.words
+        fresh = {r: pieces(r) for r in self.run.lacking(set().union(*cut))}
+        wanted = self.word.lacking({w for ws in fresh.values() for w in ws if isinstance(w, str)})
+        made = {w: array("I", ids).tobytes() for w, ids in self.encoder.encode_words(wanted)}
+        long = {w: made.pop(w) for w in wanted if len(w) > LONG}
+        self.word.keep(made)
+        word = self.word if not long else ChainMap(long, self.word)
+        runs = {r: word[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join([word[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in ws]) for r, ws in fresh.items()}
+        self.brief = {r: runs.pop(r) for r in fresh if len(r) > LONG}
+        self.run.keep(runs)
         return cut
 
     def ids(self, cut: list[str]) -> bytes:
         """Ids of a text that learn() has just cut."""
-        return b"".join([self.brief[r] if len(r) > LONG else self.run[r] for r in cut])
+        if self.brief:
+            return b"".join([self.brief[r] if len(r) > LONG else self.run[r] for r in cut])
+        return b"".join(map(self.run.__getitem__, cut))
 
 
 _memory: dict[str, Memory] = {}

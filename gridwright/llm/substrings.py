@@ -217,7 +217,8 @@ def deeper(state: DataFrame, parts: int, level: int) -> tuple[DataFrame, DataFra
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # one unit's state is in Python's memory at a time
+                row = b.slice(i, 1).to_pylist()[0]
                 yield from hashes(row)[4].sent(row["unit"], 2 * level, parts).to_batches()
 
     def receive(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,7 +241,8 @@ def longest(state: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 has = np.frombuffer(row["ids"], "<i8")[np.unique(np.frombuffer(row["doc"], "<u4")).astype(np.int64)]
                 yield from table(SENT, [[row["unit"]], [-row["words"]], [0], [len(has)], [has.tobytes()]]).to_batches()
 

@@ -36,7 +36,7 @@ MAGIC = b"GWPF0001"
 BLOCK = 1024
 PERCENTILE = 0.95
 #: Bytes that a generation of what a worker remembers takes, of words, first and later runs of text each.
-REMEMBERED = 64_000_000
+REMEMBERED = 96_000_000
 #: Longer runs are encoded whenever they occur.
 LONG = 128
 HEAD, TAIL = struct.Struct("<IBH"), struct.Struct("<QQQ8s")
@@ -184,7 +184,7 @@ class Runs(dict):
         if out is None:
             out = self.make(run)
         self[run] = out
-        self.held += 220 + len(run) * (1 if run.isascii() else 4) + len(out)
+        self.held += 220 + 2 * len(run) + len(out)
         return out
 
 
@@ -201,16 +201,20 @@ class Tokens:
             raise ValueError(f"{path}: only byte-level vocabularies without a normaliser are supported")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
-        self.symbol = byte_symbols()
+        self.symbol, self.risky = byte_symbols(), True
         self.word = Runs(self.merged)
         self.first = Runs(self.one)
         self.later = Runs(lambda run: self.one(" " + run))
 
     def one(self, run: str) -> bytes:
-        if any(t in run for t in self.added):
+        if self.risky and any(t in run for t in self.added):
             return array("I", self.library.encode(run, add_special_tokens=False).ids).tobytes()
         if PLAIN.fullmatch(run):
-            return b"".join([self.word[w] for w in WORD.findall(run)])
+            words = WORD.findall(run)
+            if len(words) > 1:
+                return b"".join([self.word[w] for w in words])
+            # a run that is one word is kept as a run
+            return self.word.get(run) or self.merged(run) if words else b""
         return b"".join([self.ids(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(run)])
 
     def ids(self, symbols: str) -> bytes:
@@ -221,6 +225,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
+        self.risky = any(a in t for a in self.added for t in texts)
         for t in texts:
             plain = not any(x in t for x in UNUSUAL) and t[:1] != " " and t[-1:] != " "
             runs = t.split(" ") if plain else BORDER.split(t)
