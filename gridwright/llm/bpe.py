@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 
 #: Bytes that a generation of what a worker remembers takes, of words and of runs of text between spaces each.
 REMEMBERED = 72_000_000
@@ -153,7 +153,7 @@ class Encoder:
                 ids.append(token[d])
                 d -= size[d]
             ids.reverse()
-            if len(fits) > 150_000:
+            if len(fits) > 60_000:
                 fits.clear()
             yield word, ids
 
@@ -239,14 +239,12 @@ class Memory:
         return b"".join(map(self.run.__getitem__, cut))
 
 
-_memory: dict[str, Memory] = {}
-
-
 def memory(path: str) -> Memory:
-    if path not in _memory:
+    kept = held("bpe")
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _memory[path] = Memory(path)
-    return _memory[path]
+        kept[path] = Memory(path)
+    return kept[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at most, unless a single text is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 U64 = np.uint64
 
 
@@ -23,6 +26,33 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Within this, Arrow batches of plans that are run are small; the session has its own setting again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a Python worker keeps for an operator from task to task. A worker keeps it for one operator at a time: whatever others
+    left there is given back, so that stages which follow each other do not add up."""
+    if _held.keys() - {owner}:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps what numpy has freed
+            trim(0)
+    return _held.setdefault(owner, {})
+
+
 def bucket_of(col: Column | str) -> Column:
     """CRC-32 of the id as text, modulo 4. The rows with 2 are held out."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % 4

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridwright.session import save
 
-from .common import _BASE, ALNUM, LOWER, Words, mix, slices, strings, window_hashes
+from .common import _BASE, ALNUM, LOWER, Words, held, mix, slices, strings, window_hashes
 
 #: Words of a window, of a K-gram, and K-grams of which the least is kept.
 WINDOW, K = 13, 7
@@ -196,10 +196,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "contamination-docs")  # rows are known by number from here on
     parts: list[DataFrame] = []
     for block in range(blocks):  # each holds about BLOCK_BYTES
-        held = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([r.item for r in held], [r.text for r in held]))
+        items = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        index = spark.sparkContext.broadcast(Index([r.item for r in items], [r.text for r in items]))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            held("decontaminate")
             for b in batches:
                 for piece in slices(b, "text"):
                     yield _pass(piece, index.value)

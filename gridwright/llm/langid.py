@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridwright.session import save
 
-from .common import bucket_of, raw, slices, strings
+from .common import bucket_of, held, raw, slices, strings
 
 #: Bytes of an n-gram; slots are 2**SLOT_BITS; hash multipliers, one for each probe.
 GRAM = 4
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         rate = F.when(F.col("lang") == k, min(1.0, sample / many[k])).otherwise(rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         for b in batches:
             for piece in slices(b, "text"):
                 value, doc, _, _ = grams(strings(piece.column("text")))
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", least_known
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")
         for b in batches:
             for piece in slices(b, text_col):
                 lang, score = shared.value.predict(piece.column(text_col), least_known)

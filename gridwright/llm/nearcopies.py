@@ -21,7 +21,7 @@ from gridwright.operators.distributed import components
 from gridwright.session import save
 
 from . import simhash
-from .common import mix
+from .common import held, mix, slices, small_batches
 
 #: Bands of a text, and MinHash values of each.
 BANDS, EACH = 40, 6
@@ -65,6 +65,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(id, key of the shingle set, fp, bands) of every row. Null texts count as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nearcopies")
         for b in batches:
             keys, fps, all_bands = [], [], []
             for x in b.column(1).cast(pa.binary()):
@@ -114,7 +115,7 @@ def verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shin
     """(u, v): stars that connect the nodes of each candidate component (node, root) as far as their sets are similar."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole, "text")):
             sets = [np.unique(shingles(x.as_py() or b"", shingle, seed)) for x in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "node", "n", "set"])
 
@@ -129,6 +130,7 @@ def verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shin
     keyed = sets.join(hot, "root", "left").select(F.explode(dealt).alias("g"), "node", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nearcopies")
         g, nodes, own = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, component_id): one row for each row of docs, with the smallest id reachable over links of a shingle similarity of
     4/5 or more. Equal ids count as one document. A null text is an empty one; texts without words are copies of each other.
     Rows without an id are kept, link to nothing and have no component."""
+    with small_batches(docs.sparkSession):
+        return _near_copies(docs, id_col, text_col, shingle, radius, seed)
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int) -> DataFrame:
+    """near_copies(): all steps with Python in them are run here; the plan that is left has joins alone."""
     signed = save(signatures(docs, id_col, text_col, shingle, seed), "near-signatures")
     known = signed.where("id is not null")
     classes = save(known.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-classes")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from gridwright.operators.distributed import components
 from gridwright.session import save
 
+from .common import held, small_batches
+
 #: Fingerprints of one group that one task compares; larger groups are split into parts of half of it, compared by pairs.
 GROUP = 4096
 #: Pairs of blocks that are compared at a time; planes after which it is looked whether pairs can be abandoned.
@@ -48,6 +50,7 @@ def simhash(data: bytes, shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(id, fp long) of every row. Null texts count as empty; their fingerprint is 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             out = [simhash(t or b"", shingle, seed) for t in (x.as_py() for x in texts)]
@@ -192,7 +195,8 @@ def candidate_stars(classes: DataFrame, radius: int) -> DataFrame:
         keyed = keyed.select("g", "fp", "node").join(hot, "g", "left").select("fp", "node", F.explode(dealt).alias("d")).select("d.g", "fp", "node", "d.half", "d.own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32), np.zeros(0, bool)]
+        held("simhash")
+        waiting = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32), np.zeros(0, bool)]
 
         def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             g = cols[0]
@@ -201,14 +205,14 @@ def candidate_stars(classes: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
-            held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-            if len(held[0]):
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
+            waiting = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(waiting)]
+            if len(waiting[0]):
+                cut = int(np.searchsorted(waiting[0], waiting[0][-1]))  # the last group may go on in the next batch
                 if cut:
-                    yield from done([h[:cut] for h in held])
-                    held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield from done(held)
+                    yield from done([h[:cut] for h in waiting])
+                    waiting = [h[cut:] for h in waiting]
+        if len(waiting[0]):
+            yield from done(waiting)
 
     return keyed.select("g", "fp", "node", "half", "own").repartition("g").sortWithinPartitions("g", "half").mapInArrow(run, "u long, v long").where("u < v").distinct()
 
@@ -217,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp long, component_id): one row for each row of docs, with the smallest id reachable over links of at most
     `radius` differing bits. Equal ids count as one document. A null text is an empty one. Rows without an id are kept, link to
     nothing and have no component. No rows in, none out. Other columns of docs are not read."""
-    fps = save(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
+    with small_batches(docs.sparkSession):
+        fps = save(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
     classes = save(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-classes")
     ids = save(fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("id"), "simhash-repeated")
     stars = candidate_stars(classes, radius)

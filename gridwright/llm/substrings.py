@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridwright.session import save, scratch
 
-from .common import NOT_SPACE, U64, Words, discard, mix, strings, window_hashes
+from .common import NOT_SPACE, U64, Words, discard, mix, small_batches, strings, window_hashes
 
 WINDOW = 13
 SEED = (WINDOW + 1) // 2
@@ -312,16 +312,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return table(RESULT, [left["id"].combine_chunks(), count, removed, [deepest.get(i, 0) for i in ids], pa.array(kept, pa.binary()).cast(pa.string())])
 
     by_unit = units.groupBy("unit")
-    told = save(answered(by_unit.applyInArrow(seeds, SENT)), "substrings-seeds")
-    told = told.union(save(answered(by_unit.cogroup(told.groupBy("unit")).applyInArrow(windows, SENT)), "substrings-windows"))
-    state: DataFrame | None = save(by_unit.cogroup(told.groupBy("unit")).applyInArrow(first_state, STATE), "substrings-state")
-    level, found = WINDOW, told
-    while state is not None and state.take(1):
-        found = found.union(save(longest(state), "substrings-longest"))
-        old = state
-        _, state = deeper(old, parts, level)
-        discard(old)
-        level *= 2
+    with small_batches(docs.sparkSession):
+        told = save(answered(by_unit.applyInArrow(seeds, SENT)), "substrings-seeds")
+        told = told.union(save(answered(by_unit.cogroup(told.groupBy("unit")).applyInArrow(windows, SENT)), "substrings-windows"))
+        state: DataFrame | None = save(by_unit.cogroup(told.groupBy("unit")).applyInArrow(first_state, STATE), "substrings-state")
+        level, found = WINDOW, told
+        while state is not None and state.take(1):
+            found = found.union(save(longest(state), "substrings-longest"))
+            old = state
+            _, state = deeper(old, parts, level)
+            discard(old)
+            level *= 2
     return by_unit.cogroup(found.groupBy("unit")).applyInArrow(final, RESULT)
 
 

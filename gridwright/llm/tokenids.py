@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridwright.session import save, scratch
 
 from .bpe import byte_symbols
-from .common import slices
+from .common import held, slices
 
 MAGIC = b"GWPF0001"
 BLOCK = 1024
@@ -233,14 +233,12 @@ class Tokens:
         return out
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens(path: str) -> Tokens:
-    if path not in _tokens:
+    kept = held("tokenids")
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+        kept[path] = Tokens(path)
+    return kept[path]
 
 
 MANIFEST = "file string, part int, n_ids long, n_docs long"
