@@ -37,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go: those with a benchmark window whose hit words are a twentieth of all at least."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = session.save(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
+    with common.small_batches(spark):
+        bad = session.save(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -49,7 +50,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of the ids and of what they decode to."""
-    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=12_000_000)
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=4_000_000)
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
