@@ -51,6 +51,14 @@ def adjacency_lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("image_id", "id").agg(F.sort_array(F.collect_set("neighbor")).alias("neighbors"))
 
 
+def with_neighbours(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A component list with `neighbors`: the sorted ids of those listed components that `pairs` (of segments or of a tree) join
+    to each. Neighbours that the list lacks, as by minsize, are left out; a component without any has an empty list."""
+    listed = pairs.select("image_id", F.col("id").cast("long").alias("id"), F.col("neighbor").cast("long").alias("neighbor"))
+    listed = listed.join(parts.select("image_id", F.col("id").cast("long").alias("neighbor")), ["image_id", "neighbor"], "left_semi")
+    return parts.join(adjacency_lists(listed), ["image_id", "id"], "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<long>")))
+
+
 def components(segm: DataFrame, minsize: int = 1) -> DataFrame:
     """Geometry of each label; coordinates from 1, bbox ends included."""
     x, y = F.col("x") + 1, F.col("y") + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree
+from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree, volumes
 from gridwright.plans import demo, sequential, sql
 from gridwright.sources import tables
 from gridwright.sources.tables import WIDTH
@@ -87,6 +87,22 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.components(segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35))
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    return df.select("image_id", "id", "surface", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+@query("components_neighbors", sql.COMPONENTS_NEIGHBORS)
+def components_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
+    return _listed(regions.with_neighbours(regions.components(segm, 3), regions.adjacency(segm)))
+
+
+@query("tree_components_neighbors", sql.TREE_COMPONENTS_NEIGHBORS)
+def tree_components_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tree(spark, sf_dir)
+    return _listed(regions.with_neighbours(tree.components(t, WIDTH).where("surface >= 2"), tree.adjacency(t)))
+
+
 @query("components_patch", sql.PATCHES, f0=6)
 def components_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)
@@ -244,6 +260,18 @@ query("strongest_maxima", sequential.STRONGEST)(lambda s, d: morphology.stronges
 query("binary_labels", sql.BINARY_LABELS)(lambda s, d: morphology.binary_labels(tables.scalar_map(s, d).withColumn("v", (F.col("v") >= 0.5).cast("int")), WIDTH))
 
 
+def _bright_volume(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    return tables.scalar_volume(spark, sf_dir).withColumn("v", (F.col("v") >= least).cast("int"))
+
+
+for _connex, _least in ((6, 0.55), (18, 0.6), (26, 0.6)):
+    query(f"volume_labels{_connex}", sql.volume_labels(_connex, _least))(lambda s, d, c=_connex, m=_least: volumes.labels(_bright_volume(s, d, m), c))
+for _connex, _kind in ((6, "minima"), (18, "maxima"), (26, "minima")):
+    query(f"volume_{_kind}{_connex}", sql.volume_extrema(_connex, _kind))(
+        lambda s, d, c=_connex, k=_kind: volumes.extrema(tables.scalar_volume(s, d).withColumn("v", F.floor(F.round("v", 9) * 64).cast("long")), k, c)
+    )
+
+
 @query("connected_overlap", sql.CONNECTED_OVERLAP, iou=6)
 def connected_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     segm = segment.connected_components(_graph(spark, sf_dir), tables.label_segm(spark, sf_dir), WIDTH, 1.35)

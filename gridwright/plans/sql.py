@@ -232,3 +232,31 @@ def _slope(axis: str) -> str:
 
 
 SHEN_CASTAN = f"WITH {PX}, f AS (SELECT y, x, g AS v FROM px), {_line('a', 'f', 'y', _EXPONENTIAL)}, {_line('b', 'a', 'x', _EXPONENTIAL)}, g AS (SELECT y, x, {_slope('y')} AS dy, {_slope('x')} AS dx FROM b) SELECT CAST(0 AS BIGINT) AS image_id, y, x, round(sqrt(dx * dx + dy * dy), 9) AS v FROM g"
+
+
+#: Slices of five rows of the scalar image.
+_VOXELS = f"{PX}, vx AS (SELECT image_id, y // 5 AS z, y % 5 AS y, x, p, g FROM px)"
+
+
+def _beside(connex: int) -> str:
+    return f"greatest(abs(a.z - b.z), abs(a.y - b.y), abs(a.x - b.x)) = 1 AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= {dict(((6, 1), (18, 2), (26, 3)))[connex]}"
+
+
+def volume_labels(connex: int, least: float) -> str:
+    return f"""WITH RECURSIVE {_VOXELS}, bright AS (SELECT * FROM vx WHERE g >= {least}), near AS (SELECT a.p AS a, b.p AS b FROM bright a JOIN bright b ON {_beside(connex)}),
+reach(a, b) AS (SELECT p, p FROM bright UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b)
+SELECT image_id, z, y, x, label FROM bright JOIN (SELECT a AS p, min(b) AS label FROM reach GROUP BY a) l USING (p)"""
+
+
+def volume_extrema(connex: int, kind: str) -> str:
+    return f"""WITH RECURSIVE {_VOXELS}, lev AS (SELECT *, CAST(floor(round(g, 9) * 64) AS BIGINT) AS q FROM vx), near AS (SELECT a.p AS a, b.p AS b, a.q AS qa, b.q AS qb FROM lev a JOIN lev b ON {_beside(connex)}),
+reach(a, b) AS (SELECT p, p FROM lev UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b AND qa = qb), flat AS (SELECT a AS p, min(b) AS label FROM reach GROUP BY a),
+lost AS (SELECT DISTINCT label FROM flat JOIN near ON near.a = flat.p WHERE {"qb < qa" if kind == "minima" else "qb > qa"})
+SELECT image_id, z, y, x, label FROM lev JOIN flat USING (p) WHERE label NOT IN (SELECT label FROM lost)"""
+
+
+_LISTED = "SELECT CAST(0 AS BIGINT) AS image_id, part.id, part.surface, coalesce((SELECT string_agg(CAST(t.b AS VARCHAR), ',' ORDER BY t.b) FROM touch t JOIN part o ON o.id = t.b WHERE t.a = part.id), '') AS neighbors FROM part"
+COMPONENTS_NEIGHBORS = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, seg AS (SELECT y, x, lab.label AS id FROM px JOIN lab USING (p)), part AS (SELECT id, count(*) AS surface FROM seg GROUP BY id HAVING count(*) >= 3),
+touch AS (SELECT DISTINCT a.id AS a, b.id AS b FROM seg a JOIN seg b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.id <> b.id) {_LISTED}"""
+TREE_COMPONENTS_NEIGHBORS = f"""WITH RECURSIVE {_TREE}, part AS (SELECT CAST((SELECT n FROM num) + k AS BIGINT) AS id, count(*) AS surface FROM side GROUP BY k HAVING count(*) >= 2),
+up AS (SELECT CAST(node + 1 AS BIGINT) AS a, CAST(father + 1 AS BIGINT) AS b FROM tree WHERE father >= 0), touch AS (SELECT a, b FROM up UNION SELECT b, a FROM up) {_LISTED}"""

@@ -24,6 +24,11 @@ def scalar_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embeddings(spark, sf_dir, "embedding").select("image_id", "y", "x", ((F.col("embedding")[0].cast("double") + 0.6) / 1.2).alias("v"))
 
 
+def scalar_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar map cut into slices of five rows: image_id, z, y, x, v."""
+    return scalar_map(spark, sf_dir).select("image_id", F.floor(F.col("y") / 5).cast("int").alias("z"), (F.col("y") % 5).alias("y"), "x", "v")
+
+
 def scalar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalar_map(spark, sf_dir).select("image_id", "y", "x", F.array("v").alias("f"))
 
