@@ -7,6 +7,7 @@ Nodes are 0..n-1. Edge lists are arrays u, v, w in the order in which ties are b
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -463,8 +464,13 @@ def neighbours(height: int, width: int, connex: int) -> list[tuple[int, int]]:
 
 def reconstruct_by_erosion(image: np.ndarray, height: int, connex: int) -> np.ndarray:
     """The h-minima filter: minima shallower than `height` are filled."""
-    h, w = image.shape
-    out = image.astype(np.int64) + height
+    return lowered(image.astype(np.int64) + height, image, connex)
+
+
+def lowered(start: np.ndarray, floor: np.ndarray, connex: int) -> np.ndarray:
+    """Reconstruction by erosion: `start`, nowhere under `floor`, sinks along every path as far as the floor on it allows."""
+    h, w = floor.shape
+    out = start.astype(np.int64)
     heap = [(int(out[y, x]), y, x) for y in range(h) for x in range(w)]
     heapq.heapify(heap)
     done = np.zeros((h, w), bool)
@@ -478,13 +484,45 @@ def reconstruct_by_erosion(image: np.ndarray, height: int, connex: int) -> np.nd
         for dy, dx in near:
             a, b = y + dy, x + dx
             if 0 <= a < h and 0 <= b < w and not done[a, b]:
-                new = max(level, int(image[a, b]))
+                new = max(level, int(floor[a, b]))
                 if new < out[a, b]:
                     out[a, b] = new
                     heapq.heappush(heap, (new, a, b))
     return out
 
 
+def height_segments(image: np.ndarray, height: int, connex: int, grown: bool) -> np.ndarray:
+    """The regional maxima that stay when peaks lower than `height` are cut off, numbered from 1 in raster order, 0 elsewhere.
+    grown: each with the largest component at or above some level that holds no other of them."""
+    cut = -reconstruct_by_erosion(-image.astype(np.int64), height, connex)
+    label, _ = regional_minima(-cut, connex)
+    if not grown:
+        return label
+    flat, mine = cut.ravel(), label.ravel().tolist()
+    parent = component_tree(cut, connex)[0].tolist()
+    # number of the one maximum in each component, -1 if there are more
+    held = [0] * len(mine)
+    for p in np.lexsort((np.arange(flat.size), -flat)).tolist():
+        for k, to in ((mine[p], p), (held[p] or mine[p], parent[p])):
+            if k and held[to] != k:
+                held[to] = k if not held[to] else -1
+    named = [p if q == p or flat[q] < flat[p] else q for p, q in enumerate(parent)]
+    return np.array([max(held[q], 0) for q in named], np.int64).reshape(image.shape)
+
+
+def height_opening(image: np.ndarray, height: int, connex: int) -> np.ndarray:
+    """Peaks lower than `height` are cut off; of each maximum that then stays the highest peak (the first of equals, in raster
+    order) keeps its whole height, and nothing else of it."""
+    f = image.astype(np.int64)
+    marker = -reconstruct_by_erosion(-f, height, connex)
+    label = regional_minima(-marker, connex)[0].ravel()
+    order = np.lexsort((np.arange(f.size), -f.ravel(), label))
+    order = order[label[order] > 0]
+    first = order[np.r_[True, np.diff(label[order]) > 0]] if len(order) else order
+    marker.ravel()[first] = f.ravel()[first]
+    return -lowered(-marker, -f, connex)
+
+
 def regional_minima(image: np.ndarray, connex: int) -> tuple[np.ndarray, int]:
     """Minima numbered from 1 in raster order, 0 elsewhere; their number."""
     h, w = image.shape
@@ -601,16 +639,26 @@ def watershed(image: np.ndarray, min_height: int, connex: int, topological: bool
     return value, np.where(node > n, 0, node), n
 
 
+#: How many coordinates may differ between neighbours.
+REACH = {4: 1, 8: 2, 6: 1, 18: 2, 26: 3}
+
+
 def component_tree(image: np.ndarray, connex: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tree of the components of pixels at or above each level: (parent of each pixel, area, volume), by raster index.
+    """Tree of the components of pixels at or above each level, of a map (connex 4, 8) or a volume (6, 18, 26): (parent of each
+    pixel, area, volume), by raster index.
 
-    Each component is named by its first pixel in the order of falling value, then raster; other pixels of its level point to
+    Each component is named by the last of its pixels in the order of falling value, then raster; other pixels of its level point to
     it, and it points to the component around it (the root to itself). volume is the sum of values above the parent's."""
-    h, w = image.shape
+    if (image.ndim == 3) != (connex in (6, 18, 26)):
+        raise ValueError(f"no neighbourhood of {connex} in {image.ndim} dimensions")
     flat = image.ravel()
     order = np.lexsort((np.arange(flat.size), -flat))
-    up, parent, seen = list(range(flat.size)), np.arange(flat.size), np.zeros(flat.size, bool)
-    near = neighbours(h, w, connex)
+    up, parent, seen = list(range(flat.size)), np.arange(flat.size), [False] * flat.size
+    # a rim of -1 around the pixels spares the test of every neighbour's coordinates
+    rimmed = np.pad(np.arange(flat.size).reshape(image.shape), 1, constant_values=-1)
+    place, inner = np.flatnonzero(rimmed >= 0).tolist(), rimmed.ravel().tolist()
+    strides = [int(np.prod(rimmed.shape[k + 1 :])) for k in range(image.ndim)]
+    near = [sum(d * s for d, s in zip(o, strides)) for o in itertools.product((-1, 0, 1), repeat=image.ndim) if 0 < sum(map(abs, o)) <= REACH[connex]]
 
     def top(a: int) -> int:
         while up[a] != a:
@@ -620,11 +668,9 @@ def component_tree(image: np.ndarray, connex: int) -> tuple[np.ndarray, np.ndarr
 
     for p in order.tolist():
         seen[p] = True
-        y, x = divmod(p, w)
-        for dy, dx in near:
-            a, b = y + dy, x + dx
-            q = a * w + b
-            if 0 <= a < h and 0 <= b < w and seen[q]:
+        for step in near:
+            q = inner[place[p] + step]
+            if q >= 0 and seen[q]:
                 r = top(q)
                 if r != p:
                     up[r] = p

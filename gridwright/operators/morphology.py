@@ -57,6 +57,17 @@ def h_maxima(maps: DataFrame, height: int, connex: int = 4) -> DataFrame:
     return _mapped(maps, lambda f: -kernels.reconstruct_by_erosion(-f.astype(np.int64), height, connex), "long")
 
 
+def height_segments(maps: DataFrame, height: int, connex: int = 4, grown: bool = False) -> DataFrame:
+    """Integer maps as the maxima that stay when peaks lower than `height` are cut off, numbered from 1 in raster order, 0 elsewhere;
+    grown: each with the largest component around it that holds no other."""
+    return _mapped(maps, lambda f: kernels.height_segments(f, height, connex, grown), "long")
+
+
+def height_opening(maps: DataFrame, height: int, connex: int = 4) -> DataFrame:
+    """Integer maps without peaks lower than `height`, where what stays keeps its highest peak whole, unlike in h_maxima."""
+    return _mapped(maps, lambda f: kernels.height_opening(f, height, connex), "long")
+
+
 def extrema(maps: DataFrame, kind: str = "minima", connex: int = 4) -> DataFrame:
     """Regional minima or maxima, numbered from 1 in raster order, 0 elsewhere."""
     if kind not in ("minima", "maxima"):
@@ -75,6 +86,18 @@ def component_tree(maps: DataFrame, connex: int = 4) -> DataFrame:
     return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, "pixel long, parent long, area long, volume double")
 
 
+def volume_tree(voxels: DataFrame, connex: int = 6) -> DataFrame:
+    """The same on volumes (image_id, z, y, x, v), full boxes; pixel and parent are voxels by z, y, x."""
+
+    def run(c: dict) -> dict:
+        f = np.zeros(tuple(int(c[k].max()) + 1 for k in "zyx"), c["v"].dtype)
+        f[c["z"], c["y"], c["x"]] = c["v"]
+        parent, area, volume = kernels.component_tree(f, connex)
+        return {"pixel": np.arange(len(parent)), "parent": parent, "area": area, "volume": volume}
+
+    return per_group(voxels.select("image_id", "z", "y", "x", "v"), "image_id", run, "pixel long, parent long, area long, volume double")
+
+
 def strongest(maps: DataFrame, n: int, connex: int = 4) -> DataFrame:
     """(image_id, y, x, v): 1 on the n regional maxima whose peaks stand highest over the level at which they meet a
     higher one, 0 elsewhere; ties go by raster order."""

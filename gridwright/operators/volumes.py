@@ -13,12 +13,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.functions.kernels import REACH
 from gridwright.operators import distributed
 from gridwright.session import save
 
 PLACE = ["image_id", "z", "y", "x"]
-#: How many coordinates may differ at once.
-REACH = {4: 1, 8: 2, 6: 1, 18: 2, 26: 3}
 
 
 def offsets(connex: int) -> list[tuple[int, int, int]]:

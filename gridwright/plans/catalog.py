@@ -187,6 +187,29 @@ for _key, _mode, _sql in (("cut_kruskal", "Kruskal", sql.CUT_FOREST), ("cut_prim
 query("min_cover", sql.MIN_COVER)(lambda s, d: cuts.cut_tree(_weighted(s, d), "MinCover"))
 
 
+def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels as nodes: capacities to the terminals are counts of bright and dark pixels, those between labels a 24th of their shared borders."""
+    pixels = tables.scalar_map(spark, sf_dir).join(tables.label_segm(spark, sf_dir), regions.PLACE).select("y", "x", "v", "label")
+    graph_id = F.lit(0).cast("long").alias("graph_id")
+    ends = pixels.groupBy(F.col("label").alias("node")).agg(F.count(F.when(F.col("v") >= 0.5, 1)).alias("cap_source"), F.count(F.when(F.col("v") < 0.5, 1)).alias("cap_sink")).select(graph_id, "*")
+    moved = pixels.withColumn("o", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0))])))
+    near = moved.select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("label").alias("other")).join(pixels, ["y", "x"]).where("label <> other")
+    lines = near.groupBy(graph_id, F.least("label", "other").alias("src"), F.greatest("label", "other").alias("dst")).agg(F.floor(F.count(F.lit(1)) / 24).alias("cap"))
+    return ends, lines.withColumn("rev_cap", F.col("cap"))
+
+
+query("max_flow", sql.MAX_FLOW)(lambda s, d: cuts.max_flow(*_network(s, d)))
+
+
+@query("max_flow_changed", sql.MAX_FLOW_CHANGED)
+def max_flow_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow after every third node has swapped its terminals and every fourth arc has gone, from the flow before."""
+    ends, lines = _network(spark, sf_dir)
+    swapped = ends.where("node % 3 = 1").select("graph_id", "node", F.col("cap_sink").alias("cap_source"), F.col("cap_source").alias("cap_sink"))
+    gone = lines.where("(src + dst) % 4 = 0").select("graph_id", "src", "dst", F.lit(0).alias("cap"), F.lit(0).alias("rev_cap"))
+    return cuts.max_flow(ends, lines, swapped, gone)
+
+
 def _pooled(spark: SparkSession, sf_dir: str, histmax: bool, confidence: float) -> DataFrame:
     pooled, _ = regions.hist_pooling(tables.embedding_pixels(spark, sf_dir), tables.label_segm(spark, sf_dir), histmax, confidence)
     return pooled.select("image_id", "y", "x", F.posexplode("f").alias("ch", "v")).withColumn("ch", (F.col("ch") + 1).cast("long"))
@@ -256,6 +279,9 @@ query("h_maxima", sequential.filled(-1))(lambda s, d: morphology.h_maxima(_level
 query("regional_minima", sequential.extrema(1))(lambda s, d: morphology.extrema(_levels(s, d), "minima"))
 query("regional_maxima", sequential.extrema(-1))(lambda s, d: morphology.extrema(_levels(s, d), "maxima"))
 query("component_tree", sequential.COMPONENT_TREE)(lambda s, d: morphology.component_tree(_levels(s, d)))
+query("height_segments", sequential.HEIGHT_SEGMENTS)(lambda s, d: morphology.height_segments(_levels(s, d), 12))
+query("height_segments_grown", sequential.HEIGHT_SEGMENTS_GROWN)(lambda s, d: morphology.height_segments(_levels(s, d), 12, grown=True))
+query("height_opening", sequential.HEIGHT_OPENING)(lambda s, d: morphology.height_opening(_levels(s, d), 12))
 query("strongest_maxima", sequential.STRONGEST)(lambda s, d: morphology.strongest(_levels(s, d), 10))
 query("binary_labels", sql.BINARY_LABELS)(lambda s, d: morphology.binary_labels(tables.scalar_map(s, d).withColumn("v", (F.col("v") >= 0.5).cast("int")), WIDTH))
 
@@ -266,6 +292,8 @@ def _bright_volume(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
 
 for _connex, _least in ((6, 0.55), (18, 0.6), (26, 0.6)):
     query(f"volume_labels{_connex}", sql.volume_labels(_connex, _least))(lambda s, d, c=_connex, m=_least: volumes.labels(_bright_volume(s, d, m), c))
+for _connex in (6, 26):
+    query(f"volume_tree{_connex}", sql.volume_tree(_connex))(lambda s, d, c=_connex: morphology.volume_tree(tables.scalar_volume(s, d).withColumn("v", F.floor(F.round("v", 9) * 64).cast("long")), c))
 for _connex, _kind in ((6, "minima"), (18, "maxima"), (26, "minima")):
     query(f"volume_{_kind}{_connex}", sql.volume_extrema(_connex, _kind))(
         lambda s, d, c=_connex, k=_kind: volumes.extrema(tables.scalar_volume(s, d).withColumn("v", F.floor(F.round("v", 9) * 64).cast("long")), k, c)

@@ -60,6 +60,17 @@ STRONGEST = f"""WITH RECURSIVE {IMAGE}, {_PEAKS}, down AS (SELECT i, -v AS v FRO
 met AS (SELECT p.k, max(r.v) AS level FROM peak p JOIN reach r ON r.b = p.i JOIN reach o ON o.a = r.a JOIN peak h ON h.i = o.b WHERE h.k <> p.k AND (h.v > p.v OR (h.v = p.v AND h.i < p.i)) GROUP BY p.k),
 best AS (SELECT k FROM peak LEFT JOIN met USING (k) ORDER BY level IS NULL DESC, v - level DESC, k LIMIT 10) SELECT {_PLACE}, CAST(CASE WHEN k IN (SELECT k FROM best) THEN 1 ELSE 0 END AS BIGINT) AS v FROM lev LEFT JOIN low USING (i)"""
 
+#: cut(i, v): the image without peaks lower than 12; _flat over its negative numbers what stays.
+_CUT = f"WITH RECURSIVE {_signed(-1)}, {_fill('f', 12)}, cut AS (SELECT i, v[i] AS v FROM full_image, img, range(1, n + 1) t(i)), {_flat('cut')}"
+HEIGHT_SEGMENTS = f"{_CUT} SELECT {_PLACE}, CAST(coalesce(k, 0) AS BIGINT) AS v FROM cut LEFT JOIN low USING (i)"
+#: Of each pixel the maxima in its component at or above its level: it belongs to a single one.
+HEIGHT_SEGMENTS_GROWN = f"""{_CUT}, reach(a, v, b) AS (SELECT i, v, i FROM cut UNION SELECT reach.a, reach.v, t.b FROM reach JOIN touch t ON t.a = reach.b AND t.vb <= reach.v),
+held AS (SELECT reach.a AS i, min(k) AS k FROM reach JOIN low ON low.i = reach.b GROUP BY reach.a HAVING min(k) = max(k)) SELECT {_PLACE}, CAST(coalesce(k, 0) AS BIGINT) AS v FROM cut LEFT JOIN held USING (i)"""
+#: Beside the cut image, every pixel keeps the highest level at which its component holds a chosen peak.
+HEIGHT_OPENING = f"""{_CUT}, lev AS (SELECT i, -f[i] AS v FROM img, range(1, n + 1) t(i)), peak AS (SELECT k, arg_min(i, (-lev.v, i)) AS i FROM low JOIN lev USING (i) GROUP BY k),
+step AS (SELECT a, b, lev.v FROM touch JOIN lev ON lev.i = b), reach(a, v, b) AS (SELECT i, v, i FROM lev UNION SELECT reach.a, reach.v, step.b FROM reach JOIN step ON step.a = reach.b AND step.v >= reach.v),
+whole AS (SELECT r.b AS i, max(r.v) AS v FROM reach r JOIN (SELECT DISTINCT reach.a FROM reach JOIN peak ON peak.i = reach.b) USING (a) GROUP BY r.b) SELECT {_PLACE}, CAST(greatest(-cut.v, whole.v) AS BIGINT) AS v FROM cut LEFT JOIN whole USING (i)"""
+
 #: Flooding in order of (level, turn); b: basin, -1 on divides, 0 where not settled; lev, turn: of queued pixels; val: as it comes out.
 _NEAREST = ", ".join(f"CASE WHEN {m} > 0 THEN {k} * 4 + {o} END" for o, (m, k) in enumerate(zip((around("b0")[2], around("b0")[3], around("b0")[0], around("b0")[1]), ("(i - 1)", f"(i - {WIDTH})", "(i + 1)", f"(i + {WIDTH})"))))
 _ORDER = f"CASE i - here WHEN 1 THEN 0 WHEN {WIDTH} THEN 1 WHEN -1 THEN 2 ELSE 3 END"

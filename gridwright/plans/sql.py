@@ -255,6 +255,31 @@ lost AS (SELECT DISTINCT label FROM flat JOIN near ON near.a = flat.p WHERE {"qb
 SELECT image_id, z, y, x, label FROM lev JOIN flat USING (p) WHERE label NOT IN (SELECT label FROM lost)"""
 
 
+def volume_tree(connex: int) -> str:
+    """Voxels b that a reaches over voxels of at least a's value; the last of a's value among them names the component."""
+    return f"""WITH RECURSIVE {_VOXELS}, lev AS (SELECT *, CAST(floor(round(g, 9) * 64) AS BIGINT) AS v FROM vx), step AS (SELECT a.p AS a, b.p AS b, b.v FROM lev a JOIN lev b ON {_beside(connex)}),
+reach(a, v, b) AS (SELECT p, v, p FROM lev UNION SELECT reach.a, reach.v, step.b FROM reach JOIN step ON step.a = reach.b AND step.v >= reach.v),
+canon AS (SELECT reach.a AS p, reach.v, max(b) FILTER (lev.v = reach.v) AS c, count(*) AS area, sum(lev.v) AS total FROM reach JOIN lev ON lev.p = reach.b GROUP BY ALL),
+around_it AS (SELECT x.p, arg_max(o.c, o.v) AS parent, max(o.v) AS pv FROM canon x JOIN reach ON reach.b = x.p JOIN canon o ON o.p = reach.a WHERE o.v < x.v GROUP BY x.p)
+SELECT CAST(0 AS BIGINT) AS image_id, p AS pixel, CASE WHEN p = c THEN coalesce(parent, c) ELSE c END AS parent, CAST(CASE WHEN p = c THEN area ELSE 1 END AS BIGINT) AS area, CAST(CASE WHEN p = c THEN total - area * coalesce(pv, v) ELSE 0 END AS DOUBLE) AS volume FROM canon LEFT JOIN around_it USING (p)"""
+
+
+#: Labels as nodes: capacities to the terminals are counts of bright and dark pixels, those between labels a 24th of their shared borders.
+_NETWORK = f"""{PX}, ends AS (SELECT label AS node, count(*) FILTER (g >= 0.5) AS s, count(*) FILTER (g < 0.5) AS t FROM px GROUP BY label),
+lines AS (SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, count(*) // 24 AS cap FROM px a JOIN px b ON (b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x) WHERE a.label <> b.label GROUP BY 1, 2)"""
+
+
+def _least_cut(ends: str, lines: str, end: str) -> str:
+    """CTE best(m, cost): the cheapest of all sets of nodes on the source's side, as bits; of equals the smallest."""
+    return f"""best{end} AS (SELECT m, cost FROM (SELECT m, (SELECT sum(CASE WHEN (m >> node) & 1 = 1 THEN t ELSE s END) FROM {ends}) + (SELECT coalesce(sum(cap), 0) FROM {lines} WHERE (m >> u) & 1 <> (m >> v) & 1) AS cost
+FROM range(1 << (SELECT max(node) + 1 FROM ends)) r(m) WHERE NOT EXISTS (FROM range((SELECT max(node) + 1 FROM ends)) q(i) WHERE (m >> i) & 1 = 1 AND i NOT IN (SELECT node FROM ends))) ORDER BY cost, bit_count(m) LIMIT 1)"""
+
+
+MAX_FLOW = f"""WITH {_NETWORK}, {_least_cut("ends", "lines", "")} SELECT CAST(0 AS BIGINT) AS graph_id, node, (m >> node) & 1 = 1 AS at_source, CAST(cost AS DOUBLE) AS flow, FALSE AS changed FROM ends, best"""
+#: The same after every third node has swapped its terminals and every fourth arc has gone.
+MAX_FLOW_CHANGED = f"""WITH {_NETWORK}, ends2 AS (SELECT node, CASE WHEN node % 3 = 1 THEN t ELSE s END AS s, CASE WHEN node % 3 = 1 THEN s ELSE t END AS t FROM ends), lines2 AS (SELECT u, v, CASE WHEN (u + v) % 4 = 0 THEN 0 ELSE cap END AS cap FROM lines),
+{_least_cut("ends", "lines", "")}, {_least_cut("ends2", "lines2", "2")} SELECT CAST(0 AS BIGINT) AS graph_id, node, (best2.m >> node) & 1 = 1 AS at_source, CAST(best2.cost AS DOUBLE) AS flow, (best2.m >> node) & 1 <> (best.m >> node) & 1 AS changed FROM ends, best, best2"""
+
 _LISTED = "SELECT CAST(0 AS BIGINT) AS image_id, part.id, part.surface, coalesce((SELECT string_agg(CAST(t.b AS VARCHAR), ',' ORDER BY t.b) FROM touch t JOIN part o ON o.id = t.b WHERE t.a = part.id), '') AS neighbors FROM part"
 COMPONENTS_NEIGHBORS = f"""WITH RECURSIVE {labels(2, 'w < 1.35')}, seg AS (SELECT y, x, lab.label AS id FROM px JOIN lab USING (p)), part AS (SELECT id, count(*) AS surface FROM seg GROUP BY id HAVING count(*) >= 3),
 touch AS (SELECT DISTINCT a.id AS a, b.id AS b FROM seg a JOIN seg b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.id <> b.id) {_LISTED}"""
