@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.operators import cuts, distributed, graph, malis, morphology, regions, segment, tree, volumes
+from gridwright.operators import cuts, distributed, graph, large_trees, malis, morphology, regions, segment, tree, volumes
 from gridwright.plans import demo, sequential, sql
 from gridwright.sources import tables
 from gridwright.sources.tables import WIDTH
@@ -147,6 +147,13 @@ def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).drop("sons", "weight")
 
 
+@query("merge_tree_blocks", sql.MERGE_TREE)
+def merge_tree_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree as images of any size get it: a distributed forest, merged in blocks."""
+    t = large_trees.merge_tree(_scalar_graph(spark, sf_dir), tables.scalar_map(spark, sf_dir), WIDTH, 700)
+    return t.drop("sons", "weight").withColumns({c: F.col(c).cast("int") for c in ("node", "father")})
+
+
 @query("hierarchy_arb", sql.MERGE_TREE)
 def hierarchy_arb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tree from levels that are computed beforehand."""
