@@ -10,10 +10,10 @@ def rows(df):
     return sorted((r.image_id, r.node, r.father, r.is_leaf, r.level, r.altitude, tuple(r.sons), r.pixel, r.merge_src, r.merge_dst) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [5, 1000])
+@pytest.mark.parametrize("block", [4, 1000])
 def test_blocks_make_the_tree_of_one_task(spark, block):
     rng = np.random.default_rng(3)
-    data = [(i, y, x, [float(rng.integers(0, 4)) / 4]) for i, (h, w) in ((2, (3, 4)), (5, (4, 2)), (9, (1, 1))) for y in range(h) for x in range(w) if (i, y, x) != (2, 1, 1)]
+    data = [(i, y, x, [float(rng.integers(0, 4)) / 4]) for i, (h, w) in ((2, (3, 3)), (5, (1, 3)), (9, (1, 1))) for y in range(h) for x in range(w) if (i, y, x) != (2, 1, 1)]
     pixels = spark.createDataFrame(data, "image_id long, y int, x int, f array<double>")
     edges = graph.graph(pixels, 4, "euclid", 4)
     got = large_trees.merge_tree(edges, pixels, 4, block)
