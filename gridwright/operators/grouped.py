@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
@@ -28,6 +28,27 @@ def per_group(df: DataFrame, key: str, kernel: Callable[[dict[str, np.ndarray]],
     return df.groupBy(key).applyInArrow(run, f"{key} long, {schema}")
 
 
+def per_sorted(df: DataFrame, key: str, order: list[str | Column], kernel: Callable[[Iterator[dict[str, np.ndarray]]], Iterator[dict]], schema: str) -> DataFrame:
+    """The same on groups that need not fit a worker: the kernel gets a group's columns in pieces, its rows in the given order, which
+    Spark sorts on disk, and yields its result in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = None
+
+        def pieces() -> Iterator[dict[str, np.ndarray]]:
+            nonlocal name
+            for b in batches:
+                if b.num_rows:
+                    name = b[key][0].as_py()
+                    yield {n: b[n].to_numpy(zero_copy_only=False) for n in b.schema.names}
+
+        for out in kernel(pieces()):
+            n = len(next(iter(out.values())))
+            yield from _table(f"{key} long, {schema}", {key: np.full(n, name), **out}).to_batches()
+
+    return df.repartition(key).sortWithinPartitions(key, *order).groupBy(key).applyInArrow(run, f"{key} long, {schema}")
+
+
 def per_pair(left: DataFrame, right: DataFrame, key: str, kernel: Callable[[dict, dict], dict], schema: str) -> DataFrame:
     """The same on two tables with a common key; either may lack a group and then has empty columns."""
 

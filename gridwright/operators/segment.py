@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions import kernels
 from gridwright.operators import distributed
-from gridwright.operators.grouped import per_group, per_pair
+from gridwright.operators.grouped import per_group, per_pair, per_sorted
 
 LABEL = "y int, x int, label long"
 
@@ -60,16 +62,38 @@ def segment(edges: DataFrame, pixels: DataFrame, width: int, thres: float = 3, m
     return per_pair(numbered(pixels, width), edges.withColumn("image_id", F.col("image_id").cast("long")), "image_id", run, LABEL)
 
 
-def segment_sparse(edges: DataFrame, thres: float = 3, minsize: int = 20, adaptive: bool = True) -> DataFrame:
-    """(graph_id, node, label) of edge lists graph_id, src, dst, w; every node from 1 to the largest id is there."""
-
-    def run(e: dict) -> dict:
-        order = _ranked(e, "w", "src", "dst")
-        n = int(max(e["src"].max(), e["dst"].max()))
-        label = kernels.segment(n, e["src"][order] - 1, e["dst"][order] - 1, e["w"][order], thres, minsize, adaptive)
-        return {"node": np.arange(1, n + 1), "label": label + 1}
-
-    return per_group(edges, "graph_id", run, "node long, label long")
+def segment_sparse(edges: DataFrame, thres: float = 3, minsize: int = 20, adaptive: bool = True, chunk: int = 1 << 20) -> DataFrame:
+    """(graph_id, node, label) of edge lists graph_id, src, dst, w; every node from 1 to the largest id is there. Edges pass through
+    a worker in order of weight, in chunks; what it holds grows with the nodes only."""
+
+    def run(pieces: Iterator[dict]) -> Iterator[dict]:
+        sets = kernels.Segments(thres, minsize, adaptive)
+        held: list[dict] = []
+
+        def add() -> None:
+            u, v, w = (np.concatenate([e[k] for e in held]) for k in ("src", "dst", "w"))
+            held.clear()
+            if min(u.min(), v.min()) < 1:
+                raise ValueError("nodes are numbered from 1")
+            sets.add(u - 1, v - 1, w)
+
+        n = 0
+        for e in pieces:
+            held.append(e)
+            n += len(e["w"])
+            # flattening the sets costs as much as their nodes, so chunks grow with these
+            if n >= max(chunk, sets.n // 4):
+                add()
+                n = 0
+        if held:
+            add()
+        label = sets.labels(chunk)
+        for i in range(0, len(label), chunk):
+            yield {"node": np.arange(i + 1, min(i + chunk, len(label)) + 1), "label": label[i : i + chunk] + 1}
+
+    # nan, as a missing weight comes to numpy, is last in either order
+    flat = edges.select("graph_id", "src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))).alias("w"))
+    return per_sorted(flat, "graph_id", ["w", "src", "dst"], run, "node long, label long")
 
 
 def watershed(gradient: DataFrame, min_height: float = 0.05, connex: int = 4, topological: bool = True) -> DataFrame:

@@ -38,11 +38,13 @@ def label_segm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers, numbered on from the parts, joined by their mean discount: graph_id, src, dst, w."""
+    """Parts and suppliers, numbered on from the parts, joined by their mean discount: graph_id, src, dst, w. Keys that begin below 1
+    are moved up to it."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    top = lines.agg(F.max("l_partkey")).first()[0] or 0
+    first, top, other = lines.agg(F.min("l_partkey"), F.max("l_partkey"), F.min("l_suppkey")).first()
+    part, supplier = (1 - min(1 if k is None else k, 1) for k in (first, other))
     pairs = lines.groupBy("l_partkey", "l_suppkey").agg(F.avg("l_discount").alias("w"))
-    return pairs.select(F.lit(0).cast("long").alias("graph_id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + top).alias("dst"), "w")
+    return pairs.select(F.lit(0).cast("long").alias("graph_id"), (F.col("l_partkey") + part).alias("src"), (F.col("l_suppkey") + supplier + (top or 0) + part).alias("dst"), "w")
 
 
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
