@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import kernels
 from gridwright.operators.grouped import per_group, per_pair
+from gridwright.session import save
 
 NODES = "node int, father int, is_leaf boolean, level int, altitude int, sons array<int>, pixel long, merge_src long, merge_dst long, weight double"
 
@@ -159,17 +160,26 @@ def components(tree: DataFrame, width: int) -> DataFrame:
     return per_group(tree, "image_id", run, "id long, centroid_x double, centroid_y double, surface long, bbox_left int, bbox_right int, bbox_top int, bbox_bottom int, bbox_width int, bbox_height int, bbox_x double, bbox_y double")
 
 
-def masks(tree: DataFrame) -> DataFrame:
-    """(image_id, id, pixel): the pixels under every node, ids from 1. As many rows as all masks have pixels."""
+def masks(tree: DataFrame, block: int = 512) -> DataFrame:
+    """(image_id, id, pixel): the pixels under every node, ids from 1. As many rows as all masks have pixels. The pixels are put in an
+    order in which every mask is a run, and cut into blocks; the part that a mask has of a block becomes rows only where it is read."""
 
     def run(c: dict) -> dict:
         t, _, ids = _tree(c)
-        held: list[np.ndarray] = [ids[i : i + 1] for i in range(t.n)]
-        for a, b in t.sons[t.n :].tolist():
-            held.append(np.concatenate([held[a], held[b]]))
-        return {"id": np.repeat(np.arange(1, len(held) + 1), [len(h) for h in held]), "pixel": np.concatenate(held)}
-
-    return per_group(tree, "image_id", run, "id long, pixel long")
+        order, first, size = kernels.spans(t)
+        return {"id": np.arange(1, len(first) + 1), "first": first, "last": first + size - 1, "pixel": [*ids[order].tolist(), *[None] * (len(first) - t.n)]}
+
+    runs = save(per_group(tree, "image_id", run, "id long, first long, last long, pixel long"), "tree-masks")
+    # the pixel at a place is in the row of that number; two blocks or more may meet in a task, and about 4,000,000 rows
+    place, total = F.col("id") - 1, runs.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    parts = max(1, total // 4_000_000)
+    held = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "pixel"))), lambda s: s["pixel"]).alias("held")
+    blocks = runs.where("pixel IS NOT NULL").groupBy("image_id", F.floor(place / block).alias("block")).agg(held)
+    pieces = runs.select("image_id", "id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))).alias("block"))
+    both = pieces.repartition(parts, "image_id", "block").join(blocks.repartition(parts, "image_id", "block"), ["image_id", "block"])
+    begin = F.greatest(F.col("first") - F.col("block") * block, F.lit(0)).cast("int")
+    end = F.least(F.col("last") - F.col("block") * block, F.lit(block - 1)).cast("int")
+    return both.select("image_id", "id", F.explode(F.slice("held", begin + 1, end - begin + 1)).alias("pixel"))
 
 
 def label_at_level(tree: DataFrame, k: float) -> DataFrame:
