@@ -1,4 +1,5 @@
-"""Extrema, labelling, component trees and recursive filters of scalar maps (image_id, y, x, v). Images are full rectangles."""
+"""Extrema, labelling, component trees and recursive filters of scalar maps (image_id, y, x, v). Images may have holes, or a last row
+that ends early: absent pixels are no neighbours and hold nothing; to recursive filters they are 0, before and after every pass."""
 
 from __future__ import annotations
 
@@ -13,23 +14,35 @@ from gridwright.operators import distributed
 from gridwright.operators.grouped import per_group
 
 
-def _image(c: dict) -> np.ndarray:
-    out = np.zeros((int(c["y"].max()) + 1, int(c["x"].max()) + 1), c["v"].dtype)
-    out[c["y"], c["x"]] = c["v"]
-    return out
+def _image(c: dict, absent: float = 0, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels as a rectangle of that width at least, with a value for those that are absent, and which are there."""
+    out = np.full((int(c["y"].max()) + 1, max(width, int(c["x"].max()) + 1)), absent, c["v"].dtype)
+    there = np.zeros(out.shape, bool)
+    out[c["y"], c["x"]], there[c["y"], c["x"]] = c["v"], True
+    return out, there
 
 
 def _mapped(maps: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> DataFrame:
     def run(c: dict) -> dict:
-        out = kernel(_image(c))
+        out = kernel(_image(c)[0])
         return {"y": c["y"], "x": c["x"], "v": out[c["y"], c["x"]]}
 
     return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, f"y int, x int, v {kind}")
 
 
-def deriche(maps: DataFrame, alpha: float = 1.0, mode: str = "modulus", weight: float = 1.0) -> DataFrame:
-    """Recursive filter: modulus, direction, laplacian, sharpen, smooth, dx or dy."""
-    return _mapped(maps, lambda f: filters.deriche(f.astype(float), alpha, mode, weight))
+def _filtered(maps: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """kernel gets the image with 0 for absent pixels, and which are there."""
+
+    def run(c: dict) -> dict:
+        image, there = _image(c, width=width)
+        return {"y": c["y"], "x": c["x"], "v": kernel(image.astype(float), there)[c["y"], c["x"]]}
+
+    return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, "y int, x int, v double")
+
+
+def deriche(maps: DataFrame, alpha: float = 1.0, mode: str = "modulus", weight: float = 1.0, width: int = 0) -> DataFrame:
+    """Recursive filter: modulus, direction, laplacian, sharpen, smooth, dx or dy. width: of the image, if its pixels may not show it."""
+    return _filtered(maps, lambda f, there: filters.deriche(f, alpha, mode, weight, there), width)
 
 
 def shen_castan(maps: DataFrame, beta: float = 0.5) -> DataFrame:
@@ -41,8 +54,9 @@ def volume_filter(voxels: DataFrame, alpha: float = 1.0, mode: str = "smooth") -
 
     def run(c: dict) -> dict:
         f = np.zeros(tuple(int(c[k].max()) + 1 for k in "zyx"))
-        f[c["z"], c["y"], c["x"]] = c["v"]
-        out = filters.deriche(f, alpha, mode)
+        there = np.zeros(f.shape, bool)
+        f[c["z"], c["y"], c["x"]], there[c["z"], c["y"], c["x"]] = c["v"], True
+        out = filters.deriche(f, alpha, mode, there=there)
         return {k: c[k] for k in "zyx"} | {"v": out[c["z"], c["y"], c["x"]]}
 
     return per_group(voxels, "image_id", run, "z int, y int, x int, v double")
@@ -80,7 +94,7 @@ def component_tree(maps: DataFrame, connex: int = 4) -> DataFrame:
     pixels that name a component."""
 
     def run(c: dict) -> dict:
-        parent, area, volume = kernels.component_tree(_image(c), connex)
+        parent, area, volume = kernels.component_tree(_image(c)[0], connex)
         return {"pixel": np.arange(len(parent)), "parent": parent, "area": area, "volume": volume}
 
     return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, "pixel long, parent long, area long, volume double")
