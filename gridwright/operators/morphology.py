@@ -45,8 +45,8 @@ def deriche(maps: DataFrame, alpha: float = 1.0, mode: str = "modulus", weight:
     return _filtered(maps, lambda f, there: filters.deriche(f, alpha, mode, weight, there), width)
 
 
-def shen_castan(maps: DataFrame, beta: float = 0.5) -> DataFrame:
-    return _mapped(maps, lambda f: filters.shen_castan(f.astype(float), beta))
+def shen_castan(maps: DataFrame, beta: float = 0.5, width: int = 0) -> DataFrame:
+    return _filtered(maps, lambda f, there: filters.shen_castan(f, beta, there), width)
 
 
 def volume_filter(voxels: DataFrame, alpha: float = 1.0, mode: str = "smooth") -> DataFrame:

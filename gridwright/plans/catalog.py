@@ -280,7 +280,7 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _mode in ("modulus", "direction", "laplacian", "sharpen", "smooth", "dx", "dy"):
     query(f"deriche_{_mode}", sql.deriche(_mode), v=9)(lambda s, d, m=_mode: morphology.deriche(tables.scalar_map(s, d), 1.0, m, width=WIDTH))
-query("shen_castan", sql.SHEN_CASTAN, v=9)(lambda s, d: morphology.shen_castan(tables.scalar_map(s, d), 0.5))
+query("shen_castan", sql.SHEN_CASTAN, v=9)(lambda s, d: morphology.shen_castan(tables.scalar_map(s, d), 0.5, WIDTH))
 query("h_minima", sequential.filled(1))(lambda s, d: morphology.h_minima(_levels(s, d), 12))
 query("h_maxima", sequential.filled(-1))(lambda s, d: morphology.h_maxima(_levels(s, d), 12))
 query("regional_minima", sequential.extrema(1))(lambda s, d: morphology.extrema(_levels(s, d), "minima"))

@@ -21,8 +21,8 @@ def ragged(request, tmp_path_factory):
     return str(base)
 
 
-@pytest.mark.parametrize("name", DERICHE)
-def test_deriche(spark, ragged, name):
+@pytest.mark.parametrize("name", [*DERICHE, "shen_castan"])
+def test_filters(spark, ragged, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
 
 
