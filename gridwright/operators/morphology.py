@@ -22,9 +22,11 @@ def _image(c: dict, absent: float = 0, width: int = 0) -> tuple[np.ndarray, np.n
     return out, there
 
 
-def _mapped(maps: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> DataFrame:
+def _mapped(maps: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], kind: str, absent: Callable[[np.ndarray], int]) -> DataFrame:
+    """absent: what pixels that are not there count as, from the values of those that are."""
+
     def run(c: dict) -> dict:
-        out = kernel(_image(c)[0])
+        out = kernel(_image(c, absent(c["v"]))[0])
         return {"y": c["y"], "x": c["x"], "v": out[c["y"], c["x"]]}
 
     return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, f"y int, x int, v {kind}")
@@ -62,31 +64,40 @@ def volume_filter(voxels: DataFrame, alpha: float = 1.0, mode: str = "smooth") -
     return per_group(voxels, "image_id", run, "z int, y int, x int, v double")
 
 
+def _over(height: int = 0) -> Callable[[np.ndarray], int]:
+    """A level that no filling by `height` reaches, so that nothing sinks through absent pixels."""
+    return lambda v: v.max() + height + 1
+
+
+def _under(height: int = 0) -> Callable[[np.ndarray], int]:
+    return lambda v: v.min() - height - 1
+
+
 def h_minima(maps: DataFrame, height: int, connex: int = 4) -> DataFrame:
     """Integer maps with minima shallower than `height` filled."""
-    return _mapped(maps, lambda f: kernels.reconstruct_by_erosion(f.astype(np.int64), height, connex), "long")
+    return _mapped(maps, lambda f: kernels.reconstruct_by_erosion(f.astype(np.int64), height, connex), "long", _over(height))
 
 
 def h_maxima(maps: DataFrame, height: int, connex: int = 4) -> DataFrame:
-    return _mapped(maps, lambda f: -kernels.reconstruct_by_erosion(-f.astype(np.int64), height, connex), "long")
+    return _mapped(maps, lambda f: -kernels.reconstruct_by_erosion(-f.astype(np.int64), height, connex), "long", _under(height))
 
 
 def height_segments(maps: DataFrame, height: int, connex: int = 4, grown: bool = False) -> DataFrame:
     """Integer maps as the maxima that stay when peaks lower than `height` are cut off, numbered from 1 in raster order, 0 elsewhere;
     grown: each with the largest component around it that holds no other."""
-    return _mapped(maps, lambda f: kernels.height_segments(f, height, connex, grown), "long")
+    return _mapped(maps, lambda f: kernels.height_segments(f, height, connex, grown), "long", _under(height))
 
 
 def height_opening(maps: DataFrame, height: int, connex: int = 4) -> DataFrame:
     """Integer maps without peaks lower than `height`, where what stays keeps its highest peak whole, unlike in h_maxima."""
-    return _mapped(maps, lambda f: kernels.height_opening(f, height, connex), "long")
+    return _mapped(maps, lambda f: kernels.height_opening(f, height, connex), "long", _under(height))
 
 
 def extrema(maps: DataFrame, kind: str = "minima", connex: int = 4) -> DataFrame:
     """Regional minima or maxima, numbered from 1 in raster order, 0 elsewhere."""
     if kind not in ("minima", "maxima"):
         raise ValueError(f"unknown extrema: {kind}")
-    return _mapped(maps, lambda f: kernels.regional_minima(f if kind == "minima" else -f, connex)[0], "long")
+    return _mapped(maps, lambda f: kernels.regional_minima(f if kind == "minima" else -f, connex)[0], "long", lambda v: 0)
 
 
 def component_tree(maps: DataFrame, connex: int = 4) -> DataFrame:
@@ -126,7 +137,7 @@ def strongest(maps: DataFrame, n: int, connex: int = 4) -> DataFrame:
         chosen = sorted(best, key=lambda k: (-best[k], k))[:n]
         return np.isin(label, chosen).astype(np.int64)
 
-    return _mapped(maps, kernel, "long")
+    return _mapped(maps, kernel, "long", _under())
 
 
 def binary_labels(mask: DataFrame, width: int, offsets: tuple[tuple[int, int], ...] = ((0, 1), (1, 0))) -> DataFrame:

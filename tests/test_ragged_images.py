@@ -6,6 +6,7 @@ import pytest
 from compare import same
 
 from gridwright.functions import filters
+from gridwright.operators import morphology
 from gridwright.plans import catalog
 
 DERICHE = [f"deriche_{m}" for m in ("modulus", "direction", "laplacian", "sharpen", "smooth", "dx", "dy")]
@@ -26,6 +27,21 @@ def test_filters(spark, ragged, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
 
 
+MAPS = ["h_minima", "h_maxima", "height_segments", "height_segments_grown", "height_opening"]
+
+
+@pytest.mark.parametrize("name", MAPS)
+def test_extrema(spark, ragged, name):
+    same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
+
+
+def test_nothing_sinks_through_absent_pixels(spark):
+    rows = [(0, 0, 0, 0), (0, 0, 2, 9), (0, 1, 2, 7)]
+    maps = spark.createDataFrame(rows, "image_id long, y int, x int, v long")
+    got = {(r.y, r.x): r.v for r in morphology.h_minima(maps, 5).collect()}
+    assert got == {(0, 0): 5, (0, 2): 12, (1, 2): 12}
+
+
 def test_second_differences_skip_holes():
     there = np.array([[True, False, True, True, False]])
     f = np.where(there, 1.0 + np.arange(5.0), 0)[0:1]
