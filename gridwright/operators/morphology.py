@@ -97,7 +97,7 @@ def extrema(maps: DataFrame, kind: str = "minima", connex: int = 4) -> DataFrame
     """Regional minima or maxima, numbered from 1 in raster order, 0 elsewhere."""
     if kind not in ("minima", "maxima"):
         raise ValueError(f"unknown extrema: {kind}")
-    return _mapped(maps, lambda f: kernels.regional_minima(f if kind == "minima" else -f, connex)[0], "long", lambda v: 0)
+    return _mapped(maps, lambda f: kernels.regional_minima(f if kind == "minima" else -f, connex)[0], "long", _over() if kind == "minima" else _under())
 
 
 def component_tree(maps: DataFrame, connex: int = 4) -> DataFrame:

@@ -27,7 +27,7 @@ def test_filters(spark, ragged, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
 
 
-MAPS = ["h_minima", "h_maxima", "height_segments", "height_segments_grown", "height_opening"]
+MAPS = ["h_minima", "h_maxima", "regional_minima", "regional_maxima", "height_segments", "height_segments_grown", "height_opening"]
 
 
 @pytest.mark.parametrize("name", MAPS)
@@ -40,6 +40,8 @@ def test_nothing_sinks_through_absent_pixels(spark):
     maps = spark.createDataFrame(rows, "image_id long, y int, x int, v long")
     got = {(r.y, r.x): r.v for r in morphology.h_minima(maps, 5).collect()}
     assert got == {(0, 0): 5, (0, 2): 12, (1, 2): 12}
+    got = {(r.y, r.x): r.v for r in morphology.extrema(maps).collect()}
+    assert got == {(0, 0): 1, (0, 2): 0, (1, 2): 2}
 
 
 def test_second_differences_skip_holes():
