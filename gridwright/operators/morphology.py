@@ -100,25 +100,30 @@ def extrema(maps: DataFrame, kind: str = "minima", connex: int = 4) -> DataFrame
     return _mapped(maps, lambda f: kernels.regional_minima(f if kind == "minima" else -f, connex)[0], "long", _over() if kind == "minima" else _under())
 
 
+def _nodes(image: np.ndarray, there: np.ndarray, connex: int) -> dict:
+    parent, area, volume = kernels.component_tree(image, connex, there)
+    at = np.flatnonzero(there)
+    return {"pixel": at, "parent": parent[at], "area": area[at], "volume": volume[at]}
+
+
 def component_tree(maps: DataFrame, connex: int = 4) -> DataFrame:
     """(image_id, pixel, parent, area, volume) of the tree of components at or above each level; areas and volumes are whole at
     pixels that name a component."""
 
     def run(c: dict) -> dict:
-        parent, area, volume = kernels.component_tree(_image(c)[0], connex)
-        return {"pixel": np.arange(len(parent)), "parent": parent, "area": area, "volume": volume}
+        return _nodes(*_image(c), connex)
 
     return per_group(maps.select("image_id", "y", "x", "v"), "image_id", run, "pixel long, parent long, area long, volume double")
 
 
 def volume_tree(voxels: DataFrame, connex: int = 6) -> DataFrame:
-    """The same on volumes (image_id, z, y, x, v), full boxes; pixel and parent are voxels by z, y, x."""
+    """The same on volumes (image_id, z, y, x, v); pixel and parent are voxels by z, y, x."""
 
     def run(c: dict) -> dict:
         f = np.zeros(tuple(int(c[k].max()) + 1 for k in "zyx"), c["v"].dtype)
-        f[c["z"], c["y"], c["x"]] = c["v"]
-        parent, area, volume = kernels.component_tree(f, connex)
-        return {"pixel": np.arange(len(parent)), "parent": parent, "area": area, "volume": volume}
+        there = np.zeros(f.shape, bool)
+        f[c["z"], c["y"], c["x"]], there[c["z"], c["y"], c["x"]] = c["v"], True
+        return _nodes(f, there, connex)
 
     return per_group(voxels.select("image_id", "z", "y", "x", "v"), "image_id", run, "pixel long, parent long, area long, volume double")
 

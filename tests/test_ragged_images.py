@@ -35,6 +35,17 @@ def test_extrema(spark, ragged, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
 
 
+@pytest.mark.parametrize("name", ["component_tree", "volume_tree6", "volume_tree26"])
+def test_trees(spark, ragged, name):
+    same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], ragged)
+
+
+def test_parts_of_a_map_are_trees_of_their_own(spark):
+    maps = spark.createDataFrame([(0, 0, 0, -3), (0, 0, 2, 4), (0, 0, 3, 6)], "image_id long, y int, x int, v long")
+    got = sorted((r.pixel, r.parent, r.area, r.volume) for r in morphology.component_tree(maps).collect())
+    assert got == [(0, 0, 1, 0.0), (2, 2, 2, 2.0), (3, 2, 1, 2.0)]
+
+
 def test_nothing_sinks_through_absent_pixels(spark):
     rows = [(0, 0, 0, 0), (0, 0, 2, 9), (0, 1, 2, 7)]
     maps = spark.createDataFrame(rows, "image_id long, y int, x int, v long")
